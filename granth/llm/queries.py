@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granth.functions.labels import label
-from granth.llm import linked_splits, mixing, oversize, packing, sizes
+from granth.llm import encoding, linked_splits, mixing, oversize, packing, sentences, sizes
 from granth.runtime import materialise, meta_int, table
 
 
@@ -62,7 +62,27 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.share_report(materialise(_mixture(spark, d), "mixture"), table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_splits, p4_incremental, p7_packing, p7_fill, p8_mixture, p8_shares)}
+def _fields(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.records(table(spark, d, "chunks"), table(spark, d, "documents"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.found(_fields(spark, d))
+
+
+def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.repair(_fields(spark, d))
+
+
+def p9_units(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_units(spark, d).select("doc_id", "start_pos", "end_pos")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_splits, p4_incremental, p6_found, p6_repaired, p7_packing, p7_fill, p8_mixture, p8_shares, p9_found, p9_units)}
 
 _BLANK = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
