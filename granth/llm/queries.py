@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granth.functions.labels import label
-from granth.llm import encoding, linked_splits, mixing, oversize, packing, sentences, sizes
+from granth.llm import encoding, linked_splits, mixing, near_duplicates, oversize, packing, sentences, sizes
 from granth.runtime import materialise, meta_int, table
 
 
@@ -18,6 +18,18 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_pieces(spark, d).where("piece_no = 0 AND n_pieces > 1").select("chunk_id")
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").select("id", "text")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.expand(*near_duplicates.similar(_texts(spark, d)))
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.groups(*near_duplicates.similar(_texts(spark, d)))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return linked_splits.question_groups(table(spark, d, "qa_train"), table(spark, d, "chunks"), table(spark, d, "documents"))
 
@@ -82,7 +94,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_units(spark, d).select("doc_id", "start_pos", "end_pos")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_splits, p4_incremental, p6_found, p6_repaired, p7_packing, p7_fill, p8_mixture, p8_shares, p9_found, p9_units)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_splits, p4_incremental, p6_found, p6_repaired, p7_packing, p7_fill, p8_mixture, p8_shares, p9_found, p9_units)}
 
 _BLANK = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
@@ -90,6 +102,12 @@ SQL = {
     "p2_found": rf"""
         SELECT id AS chunk_id FROM chunks
         WHERE len(regexp_extract_all(text, '[^{_BLANK}]+')) > (SELECT max(try_cast(value AS INT)) FROM meta WHERE key = 'chunk_tokens')""",
+    "p3_found": rf"""
+        WITH w AS (SELECT id, list_filter(regexp_split_to_array(lower(text), '[{_BLANK}]+'), lambda x: x <> '') AS w FROM chunks),
+        s AS (SELECT id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 30),
+        u AS (SELECT id, len(s) AS n, unnest(s) AS t FROM s),
+        c AS (SELECT a.id AS chunk_a, b.id AS chunk_b, a.n AS n, b.n AS m, count(*) AS k FROM u a JOIN u b ON a.t = b.t AND a.id < b.id GROUP BY ALL)
+        SELECT chunk_a, chunk_b FROM c WHERE k >= 0.6 * (n + m - k)""",
     "p4_found": """
         WITH RECURSIVE named AS (
           SELECT DISTINCT qa_id, doc_id AS doc FROM qa_train WHERE doc_id IS NOT NULL
