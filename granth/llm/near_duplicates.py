@@ -171,17 +171,18 @@ def similar(items: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN
     first = sk.groupBy("digest").agg(F.min("id").alias("rep"))
     members = materialise(sk.select("id", "digest").dropDuplicates().join(first, "digest").select("id", "rep"), "members")
     reps = members.where("id = rep").select("id")
-    keyed = sk.join(reps, "id", "left_semi").select("id", "f1", "f2", F.explode("keys").alias("key"))
+    one = materialise(sk.join(reps, "id", "left_semi").select("id", "f1", "f2", "keys"), "reps")  # a bare scan on both sides of the join lets Spark reuse its exchange
+    keyed = one.select("id", "f1", "f2", F.explode("keys").alias("key"))
     x, y = keyed.alias("x"), keyed.alias("y")
     far = F.bit_count(F.col("x.f1").bitwiseXOR(F.col("y.f1"))) + F.bit_count(F.col("x.f2").bitwiseXOR(F.col("y.f2")))
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (far <= MAX_BITS)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).dropDuplicates()
     met = materialise(met, "met")
     ids = materialise(met.select(F.explode(F.array("a", "b")).alias("id")).dropDuplicates(), "ids")
     sets = run_sets(items.select("id", "text").join(small_side(ids, 16), "id", "left_semi"), width)
-    sets = materialise(sets.dropDuplicates(["id"]), "sets")
+    sets = materialise(sets, "sets")
     both = met.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    pairs = both.select("a", "b", common.alias("n"), (F.size("sa") + F.size("sb")).alias("m")).select("a", "b", (F.col("n") / (F.col("m") - F.col("n"))).alias("similarity")).where(F.col("similarity") >= threshold)
+    pairs = both.select("a", "b", common.alias("n"), (F.size("sa") + F.size("sb")).alias("m")).select("a", "b", (F.col("n") / (F.col("m") - F.col("n"))).alias("similarity")).where(F.col("similarity") >= threshold).dropDuplicates(["a", "b"])
     return pairs, members
 
 

@@ -6,10 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granth.functions.labels import label
-from granth.llm import encoding, linked_splits, mixing, near_duplicates, oversize, packing, sentences, sizes
+from granth.llm import encoding, language, linked_splits, mixing, near_duplicates, oversize, packing, scan_noise, sentences, sizes
 from granth.runtime import materialise, meta_int, table
 
 
+def _noise(spark: SparkSession, d: str) -> scan_noise.Noise:
+    return scan_noise.Noise(table(spark, d, "chunks"), table(spark, d, "documents"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _noise(spark, d).found()
+
+
+def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scan_noise.repair(_noise(spark, d))
+
+
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return oversize.split_oversized(table(spark, d, "chunks"), meta_int(spark, d, "chunk_tokens", 300), meta_int(spark, d, "chunk_overlap_tokens", 50))
 
@@ -63,7 +75,7 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 def _mixture(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", "language", "text")
-    return mixing.mix(sizes.with_tokens(docs.where("source IS NOT NULL").join(F.broadcast(table(spark, d, "mix_targets").select("source").dropDuplicates()), "source", "left_semi")), table(spark, d, "mix_targets"), label("language"))
+    return mixing.mix(materialise(sizes.with_tokens(docs.where("source IS NOT NULL").join(F.broadcast(table(spark, d, "mix_targets").select("source").dropDuplicates()), "source", "left_semi")).drop("text"), "sizes"), table(spark, d, "mix_targets"), label("language"))
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -74,6 +86,31 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.share_report(materialise(_mixture(spark, d), "mixture"), table(spark, d, "mix_targets"))
 
 
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    """Every record with a language label: (tbl, rec_id, stored, text)."""
+    c, o, q = table(spark, d, "chunks"), table(spark, d, "documents"), table(spark, d, "qa_test").select("qa_id", "lang", "query").dropDuplicates()
+    part = lambda name, df, i, lang, text: df.select(F.lit(name).alias("tbl"), F.col(i).alias("rec_id"), F.col(lang).alias("stored"), F.col(text).alias("text"))
+    return part("chunks", c, "id", "language", "text").unionByName(part("documents", o, "doc_id", "language", "text")).unionByName(part("qa_test", q, "qa_id", "lang", "query"))
+
+
+def _network(spark: SparkSession, d: str) -> language.BiGRU:
+    return language.train(*language.training_rows(table(spark, d, "lang_samples"), table(spark, d, "documents").select("text", F.col("language").alias("lang"))))
+
+
+def p5_labels(spark: SparkSession, d: str) -> DataFrame:
+    return language.identify(_labelled(spark, d), _network(spark, d)).drop("segments", "stored")
+
+
+def p5_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of every mixed record."""
+    s = language.identify(_labelled(spark, d), _network(spark, d), with_segments=True).where("lang = 'mixed'")
+    return s.select("tbl", "rec_id", F.posexplode("segments").alias("seg_no", "s")).select("tbl", "rec_id", "seg_no", "s.*")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.wrong_labels(language.identify(_labelled(spark, d), _network(spark, d)))
+
+
 def _fields(spark: SparkSession, d: str) -> DataFrame:
     return encoding.records(table(spark, d, "chunks"), table(spark, d, "documents"))
 
@@ -94,7 +131,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_units(spark, d).select("doc_id", "start_pos", "end_pos")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_splits, p4_incremental, p6_found, p6_repaired, p7_packing, p7_fill, p8_mixture, p8_shares, p9_found, p9_units)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_splits, p4_incremental, p5_found, p5_labels, p5_segments, p6_found, p6_repaired, p7_packing, p7_fill, p8_mixture, p8_shares, p9_found, p9_units)}
 
 _BLANK = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
