@@ -28,8 +28,10 @@ WIDTH = 3
 THRESHOLD = 0.60
 MIN_WORDS = 30
 SEGMENTS = 12
-#: Screen: fingerprint bits (of 128) that may differ. At a similarity of 0.60, 25.6 differ on average, 4.5 being the deviation.
+#: Screens: fingerprint bits that may differ, of the 128 that travel with the keys and of all 256. At a similarity of 0.60,
+#: 25.6 and 51.2 differ on average, with deviations of 4.5 and 6.4.
 MAX_BITS = 40
+MAX_BITS_ALL = 72
 SEED = 29
 
 #: Generator polynomial of the binary Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 (fixed value).
@@ -104,8 +106,8 @@ class Sketcher:
         s ^= s >> np.uint64(31)
         return (s * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32)
 
-    def sketch(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """(f1, f2, keys of each text) for texts of at least width words."""
+    def sketch(self, texts: list[list[str]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """(four words of fingerprint, keys of each text) for texts of at least width words."""
         sets = [self.runs(w) for w in texts]
         flat = np.concatenate(sets)
         starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
@@ -118,11 +120,9 @@ class Sketcher:
             mins[i] = np.minimum.reduceat(buf, starts)
         nb = self.segments * 23
         bits = (mins[:nb] * np.uint32(0x85EBCA6B) >> np.uint32(17)) & np.uint32(1)
-        f1 = np.zeros(len(sets), np.uint64)
-        f2 = np.zeros(len(sets), np.uint64)
-        for i in range(64):
-            f1 |= bits[i].astype(np.uint64) << np.uint64(i)
-            f2 |= bits[64 + i].astype(np.uint64) << np.uint64(i)
+        prints = [np.zeros(len(sets), np.uint64) for _ in range(4)]
+        for i in range(256):
+            prints[i // 64] |= bits[i % nb].astype(np.uint64) << np.uint64(i % 64)
         out = []
         for s in range(self.segments):
             word = np.zeros(len(sets), np.int32)
@@ -134,11 +134,11 @@ class Sketcher:
             k = (k ^ k >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)
             out.append((k.astype(np.uint32).astype(np.int32), codes >= 0))
         keys = [np.concatenate([k[t][ok[t]] for k, ok in out]) for t in range(len(sets))]
-        return f1.astype(np.int64), f2.astype(np.int64), keys
+        return [f.astype(np.int64) for f in prints], keys
 
 
 def sketches(items: DataFrame, min_words: int = MIN_WORDS, width: int = WIDTH, segments: int = SEGMENTS) -> DataFrame:
-    """(id, digest, f1, f2, keys) of every (id, text) with enough words. One pass."""
+    """(id, digest, f1 to f4, keys) of every (id, text) with enough words. One pass."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         maker = Sketcher(width, segments)
@@ -152,10 +152,10 @@ def sketches(items: DataFrame, min_words: int = MIN_WORDS, width: int = WIDTH, s
                         words.append(w)
                         digests.append(hashlib.blake2b(" ".join(w).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest())
                 if ids:
-                    f1, f2, keys = maker.sketch(words)
-                    yield pd.DataFrame({"id": ids, "digest": digests, "f1": f1, "f2": f2, "keys": keys})
+                    f, keys = maker.sketch(words)
+                    yield pd.DataFrame({"id": ids, "digest": digests, "f1": f[0], "f2": f[1], "f3": f[2], "f4": f[3], "keys": keys})
 
-    return items.select("id", "text").where((F.length("text") >= 2 * min_words - 1) & F.col("id").isNotNull()).mapInPandas(run, "id long, digest string, f1 long, f2 long, keys array<int>")
+    return items.select("id", "text").where((F.length("text") >= 2 * min_words - 1) & F.col("id").isNotNull()).mapInPandas(run, "id long, digest string, f1 long, f2 long, f3 long, f4 long, keys array<int>")
 
 
 def run_sets(items: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -170,12 +170,17 @@ def similar(items: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN
     sk = materialise(sketches(items, min_words, width, segments), "sketch")
     first = sk.groupBy("digest").agg(F.min("id").alias("rep"))
     members = materialise(sk.select("id", "digest").dropDuplicates().join(first, "digest").select("id", "rep"), "members")
-    reps = members.where("id = rep").select("id")
-    one = materialise(sk.join(reps, "id", "left_semi").select("id", "f1", "f2", "keys"), "reps")  # a bare scan on both sides of the join lets Spark reuse its exchange
-    keyed = one.select("id", "f1", "f2", F.explode("keys").alias("key"))
+    copies = members.where("id <> rep").select("id")
+    one = materialise(sk.join(small_side(copies, 16), "id", "left_anti"), "reps")
+    keyed = one.select("id", "f1", "f2", F.explode("keys").alias("key"))  # a bare scan on both sides of the join lets Spark reuse its exchange
     x, y = keyed.alias("x"), keyed.alias("y")
-    far = F.bit_count(F.col("x.f1").bitwiseXOR(F.col("y.f1"))) + F.bit_count(F.col("x.f2").bitwiseXOR(F.col("y.f2")))
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (far <= MAX_BITS)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).dropDuplicates()
+    bits = lambda *pairs: sum((F.bit_count(F.col(p).bitwiseXOR(F.col(q))) for p, q in pairs[1:]), F.bit_count(F.col(pairs[0][0]).bitwiseXOR(F.col(pairs[0][1]))))
+    near = bits(("x.f1", "y.f1"), ("x.f2", "y.f2")) <= MAX_BITS
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).dropDuplicates()
+    full = one.select("id", "f1", "f2", "f3", "f4")
+    for side in "ab":
+        met = met.join(full.select(F.col("id").alias(side), *[F.col(f"f{k}").alias(f"{side}{k}") for k in range(1, 5)]), side)
+    met = met.where(bits(*[(f"a{k}", f"b{k}") for k in range(1, 5)]) <= MAX_BITS_ALL).select("a", "b")
     met = materialise(met, "met")
     ids = materialise(met.select(F.explode(F.array("a", "b")).alias("id")).dropDuplicates(), "ids")
     sets = run_sets(items.select("id", "text").join(small_side(ids, 16), "id", "left_semi"), width)
