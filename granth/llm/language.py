@@ -36,8 +36,12 @@ MIXED_SHARE = 0.2
 WEAK_ROWS = 60
 WEAK_SENTENCES = 2400
 HIDDEN = 20
-WINDOW = 128
-EPOCHS = (30, 5)
+WINDOW = 192
+EPOCHS = (40, 8)
+#: A weak sentence stays if the first network gives its label at least this probability.
+DOUBT = 0.1
+#: Byte strings of segments whose result a worker keeps.
+CACHE = 400_000
 BLANK_BYTE = 0x20
 
 _ENDS = ".!?।॥۔؟。！？|\n\r\f"
@@ -75,7 +79,7 @@ def encode(texts: list[str]) -> dict[str, np.ndarray]:
     w0, w1 = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(w0):
         z = np.zeros(0, np.int64)
-        return {"data": z, "rec_at": np.zeros(len(texts) + 1, np.int64), "word_at": z, "word_len": z, "word_letters": z, "word_seg": z, "seg_rec": z, "seg_lo": z, "seg_hi": z}
+        return {"data": z, "rec_at": np.zeros(len(texts) + 1, np.int64), "word_at": z, "word_len": z, "word_letters": z, "word_seg": z, "seg_rec": z, "seg_script": z, "seg_lo": z, "seg_hi": z}
     rec = np.searchsorted(starts, w0, "right") - 1
     script = script_of[low[w0]]
     ends = np.cumsum(kind == 2)
@@ -100,14 +104,14 @@ def encode(texts: list[str]) -> dict[str, np.ndarray]:
     data[pos[~one] + 1] = c[~one] & 0xFF
     rec_first = np.searchsorted(rec, np.arange(len(texts) + 1))
     rec_at = np.concatenate([word_at, [len(data)]])[rec_first]
-    return {"data": data, "rec_at": rec_at, "word_at": word_at, "word_len": word_len, "word_letters": w1 - w0, "word_seg": seg, "seg_rec": rec[first], "seg_lo": w0[first] - starts[rec[first]], "seg_hi": w1[last] - starts[rec[first]]}
+    return {"data": data, "rec_at": rec_at, "word_at": word_at, "word_len": word_len, "word_letters": w1 - w0, "word_seg": seg, "seg_rec": rec[first], "seg_script": script[first].astype(np.int64), "seg_lo": w0[first] - starts[rec[first]], "seg_hi": w1[last] - starts[rec[first]]}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    x *= 0.5
-    np.tanh(x, out=x)
-    x += 1
-    x *= 0.5
+def _squash(x: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|) in place: the network's bounded activation, several times cheaper than tanh; its slope is (1 - |y|)^2."""
+    d = np.abs(x)
+    d += 1
+    x /= d
     return x
 
 
@@ -120,42 +124,41 @@ class BiGRU:
         self.h = h
         self.p: dict[str, np.ndarray] = {}
         for d in "fb":
-            self.p["x" + d] = (rng.standard_normal((256, 3 * h)) * 0.3).astype(np.float32)
-            u = np.concatenate([np.linalg.qr(rng.standard_normal((h, h)))[0] for _ in range(3)], axis=1)
-            self.p["u" + d] = u.astype(np.float32)
-            self.p["x" + d][:, :h] += 1.0
+            for part, n in (("g", 2 * h), ("c", h)):  # gates and candidate
+                self.p["x" + part + d] = (rng.standard_normal((256, n)) * 0.5).astype(np.float32)
+                self.p["u" + part + d] = np.concatenate([np.linalg.qr(rng.standard_normal((h, h)))[0] for _ in range(n // h)], axis=1).astype(np.float32)
+            self.p["xg" + d][:, :h] += 1.5
         self.p["w"] = (rng.standard_normal((2 * h, classes)) * 0.1).astype(np.float32)
         self.p["b"] = np.zeros(classes, np.float32)
+        self.cache: dict[bytes, np.ndarray] = {}
 
     def _forward(self, data: np.ndarray, d: str, keep: bool):
-        """States (T, B, h) of windows (B, T), in text order; keep: also what backpropagation needs."""
+        """States (T, B, h) of sequences (B, T), in text order; keep: also what backpropagation needs."""
         h, (n, t) = self.h, data.shape
-        x, u = self.p["x" + d], self.p["u" + d]
+        xg, xc, ug, uc = (self.p[k + d] for k in ("xg", "xc", "ug", "uc"))
+        cols = np.ascontiguousarray(data.T)
         out = np.empty((t, n, h), np.float32)
         state = np.zeros((n, h), np.float32)
         kept = []
         for i in range(t) if d == "f" else range(t - 1, -1, -1):
-            g = x[data[:, i]]
-            a = state @ u
-            zr = g[:, :2 * h]
-            zr += a[:, :2 * h]
-            zr = _sigmoid(zr)
-            z, r, an = zr[:, :h], zr[:, h:], a[:, 2 * h:]
-            c = r * an
-            c += g[:, 2 * h:]
-            np.tanh(c, out=c)
+            g = xg[cols[i]]
+            g += state @ ug
+            _squash(g)
+            g += 1
+            g *= 0.5
+            z, r = g[:, :h], g[:, h:]
+            an = state @ uc
+            c = xc[cols[i]]
+            c += r * an
+            _squash(c)
             new = state - c
             new *= z
             new += c
             if keep:
-                kept.append((z, r, c, an.copy(), state))
+                kept.append((z, r, c, an, state))
             out[i] = state = new
         return out, kept
 
-    def states(self, data: np.ndarray) -> np.ndarray:
-        """(B, T, 2h) states of every position of windows (B, T)."""
-        return np.concatenate([self._forward(data, "f", False)[0], self._forward(data, "b", False)[0]], axis=2).transpose(1, 0, 2)
-
     def step(self, data: np.ndarray, want: np.ndarray, mask: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Loss and gradients of one batch: want and mask are (B, T)."""
         h, (n, t) = self.h, data.shape
@@ -177,35 +180,46 @@ class BiGRU:
         grads["b"] += flat.sum(0)
         dout = prob @ self.p["w"].T
         for d, part in (("f", dout[:, :, :h]), ("b", dout[:, :, h:])):
-            u, kept = self.p["u" + d], fwd[d][1]
+            ug, uc, kept = self.p["ug" + d], self.p["uc" + d], fwd[d][1]
             order = list(range(t)) if d == "f" else list(range(t - 1, -1, -1))
             dh = np.zeros((n, h), np.float32)
-            dg = np.empty((t, n, 3 * h), np.float32)
+            dgs, dcs = np.empty((t, n, 2 * h), np.float32), np.empty((t, n, h), np.float32)
             for i in reversed(range(t)):
                 z, r, c, an, prev = kept[i]
                 dh = dh + part[order[i]]
-                dc = dh * (1 - z) * (1 - c * c)
-                dz = dh * (prev - c) * z * (1 - z)
-                dr = dc * an * r * (1 - r)
-                da = np.concatenate([dz, dr, dc * r], axis=1)
-                dg[order[i]] = np.concatenate([dz, dr, dc], axis=1)
-                grads["u" + d] += prev.T @ da
-                dh = dh * z + da @ u.T
-            np.add.at(grads["x" + d], data.T.reshape(-1), dg.reshape(-1, 3 * h))
+                dc = dh * (1 - z) * (1 - np.abs(c)) ** 2
+                gate = np.concatenate([dh * (prev - c), dc * an], axis=1)
+                y = np.concatenate([z, r], axis=1) * 2 - 1
+                gate *= 0.5 * (1 - np.abs(y)) ** 2
+                da = dc * r
+                dgs[order[i]], dcs[order[i]] = gate, dc
+                grads["ug" + d] += prev.T @ gate
+                grads["uc" + d] += prev.T @ da
+                dh = dh * z + gate @ ug.T + da @ uc.T
+            at = data.T.reshape(-1)
+            np.add.at(grads["xg" + d], at, dgs.reshape(-1, 2 * h))
+            np.add.at(grads["xc" + d], at, dcs.reshape(-1, h))
         return loss, grads
 
-    def fit(self, data: np.ndarray, want: np.ndarray, mask: np.ndarray, epochs: int, batch: int = 96, rate: float = 0.01, seed: int = 1) -> float:
-        """Adam with clipped gradients over shuffled batches; returns the last epoch's loss."""
+    def fit(self, sequences: list[tuple[bytes, int]], epochs: int, batch: int = 48, rate: float = 0.02, seed: int = 1) -> float:
+        """Adam with clipped gradients over batches of (bytes, class) of like length; returns the last epoch's loss."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
+        self.cache.clear()
         k, mean = 0, 0.0
-        steps = epochs * -(-len(data) // batch)
+        steps = epochs * -(-len(sequences) // batch)
         for _ in range(epochs):
-            order, losses = rng.permutation(len(data)), []
-            for lo in range(0, len(order), batch):
-                pick = order[lo:lo + batch]
-                loss, g = self.step(data[pick], want[pick], mask[pick])
+            losses, order = [], rng.permutation(len(sequences))
+            lots = []
+            for lo in range(0, len(order), 4 * batch):  # like lengths within a stretch of the shuffled order
+                some = sorted(order[lo:lo + 4 * batch], key=lambda i: len(sequences[i][0]))
+                lots += [some[x:x + batch] for x in range(0, len(some), batch)]
+            for j in rng.permutation(len(lots)):
+                lot = [sequences[i] for i in lots[j]]
+                data, inside = _pad([b for b, _ in lot])
+                want = np.repeat(np.array([y for _, y in lot])[:, None], data.shape[1], axis=1)
+                loss, g = self.step(data, want, inside)
                 losses.append(loss)
                 k += 1
                 lr = rate * (1 - 0.9 * k / steps)
@@ -218,65 +232,64 @@ class BiGRU:
             mean = float(np.mean(losses))
         return mean
 
-    def segments(self, e: dict[str, np.ndarray], batch: int = 1024) -> np.ndarray:
-        """(segments, classes) probabilities of encoded texts."""
-        data, at = e["data"], e["rec_at"]
-        if not len(e["word_at"]):
-            return np.zeros((0, len(self.p["b"])), np.float32)
-        n = at[1:] - at[:-1]
-        per = -(-n // WINDOW)
-        rec = np.repeat(np.arange(len(n)), per)
-        k = np.arange(len(rec)) - np.repeat(np.cumsum(per) - per, per)
-        lo = at[rec] + k * WINDOW
-        hi = np.minimum(lo + WINDOW, at[rec + 1])
-        sums = np.zeros((len(e["word_at"]), 2 * self.h), np.float32)
-        order = np.argsort(hi - lo, kind="stable")  # windows of like length run together
-        flat = np.zeros((len(data), 2 * self.h), np.float32)
-        for s in range(0, len(order), batch):
-            w = order[s:s + batch]
-            t = int((hi[w] - lo[w]).max())
-            idx = np.minimum(lo[w][:, None] + np.arange(t)[None, :], hi[w][:, None] - 1)
-            win = data[idx]
-            inside = np.arange(t)[None, :] < (hi[w] - lo[w])[:, None]
-            win[~inside] = BLANK_BYTE
-            st = self.states(win)
-            flat[idx[inside]] = st[inside]
-        sums = np.add.reduceat(flat, e["word_at"], axis=0)
-        # a word's last stretch holds the blank after it, which is read as part of the word
-        seg = e["word_seg"]
-        first = np.flatnonzero(np.diff(np.concatenate([[-1], seg])))
-        total = np.add.reduceat(sums, first, axis=0)
-        count = np.add.reduceat((e["word_len"] + 1).astype(np.float32), first)
-        logits = (total / count[:, None]) @ self.p["w"] + self.p["b"]
-        logits = logits * SHARPEN
-        logits -= logits.max(1, keepdims=True)
+    def logits(self, keys: list[bytes], batch: int = 1024) -> np.ndarray:
+        """Mean state of every position, through the last layer, of each byte string; strings seen before are not read again."""
+        fresh = [k for k in dict.fromkeys(keys) if k not in self.cache]
+        if len(self.cache) + len(fresh) > CACHE:
+            self.cache.clear()
+            fresh = list(dict.fromkeys(keys))
+        pieces = sorted(((k[lo:lo + WINDOW], k) for k in fresh for lo in range(0, len(k), WINDOW)), key=lambda x: len(x[0]))
+        sums: dict[bytes, np.ndarray] = {}
+        for lo in range(0, len(pieces), batch):
+            part = pieces[lo:lo + batch]
+            data, inside = _pad([b for b, _ in part])
+            weight = inside.T[:, :, None]
+            both = np.concatenate([(self._forward(data, d, False)[0] * weight).sum(0) for d in "fb"], axis=1)
+            for (_, k), v in zip(part, both):
+                sums[k] = sums[k] + v if k in sums else v
+        for k, v in sums.items():
+            self.cache[k] = v / len(k) @ self.p["w"] + self.p["b"]
+        return np.stack([self.cache[k] for k in keys]) if keys else np.zeros((0, len(self.p["b"])), np.float32)
+
+    def segments(self, e: dict[str, np.ndarray]) -> np.ndarray:
+        """(segments, classes) probabilities of encoded texts, each segment read on its own."""
+        logits = self.logits(segment_bytes(e)) * SHARPEN
+        logits -= logits.max(1, keepdims=True) if len(logits) else 0
         p = np.exp(logits)
         return p / p.sum(1, keepdims=True)
 
 
+def segment_bytes(e: dict[str, np.ndarray]) -> list[bytes]:
+    if not len(e["word_seg"]):
+        return []
+    first = np.flatnonzero(np.diff(np.concatenate([[-1], e["word_seg"]])))
+    at = e["word_at"][first]
+    raw, ends = e["data"].tobytes(), np.concatenate([at[1:], [len(e["data"])]])
+    return [raw[a:b] for a, b in zip(at.tolist(), ends.tolist())]
+
+
+def _pad(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(B, T) bytes padded with blanks, and which positions are inside."""
+    n = np.array([len(b) for b in strings])
+    t = int(n.max())
+    data = np.frombuffer(b"".join(b.ljust(t, b" ") for b in strings), np.uint8).reshape(len(strings), t)
+    return data, np.arange(t)[None, :] < n[:, None]
+
+
 #: The mean of position logits over a segment underrates the evidence of many positions; this scale is applied to it.
 SHARPEN = 2.0
 _CUT = re.compile(r"(?<=[.!?।۔。！？])\s+|\n+")
 
 
-def windows(samples: list[tuple[str, str]], seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Training windows: sentences in random order are laid end to end, so that windows also show changes of language."""
-    rng = np.random.default_rng(seed)
-    data, want = [], []
-    for i in rng.permutation(len(samples)):
-        text, lang = samples[i]
-        d = encode([text])["data"]
-        if len(d):
-            data.append(d)
-            want.append(np.full(len(d), LANGS.index(lang)))
-    if not data:
-        z = np.zeros((0, WINDOW), np.int64)
-        return z.astype(np.uint8), z, z.astype(bool)
-    x, y = np.concatenate(data), np.concatenate(want)
-    pad = -len(x) % WINDOW
-    mask = np.concatenate([np.ones(len(x), bool), np.zeros(pad, bool)])
-    x, y = np.concatenate([x, np.full(pad, BLANK_BYTE, np.uint8)]), np.concatenate([y, np.zeros(pad, np.int64)])
-    return x.reshape(-1, WINDOW), y.reshape(-1, WINDOW), mask.reshape(-1, WINDOW)
+def sequences(samples: list[tuple[str, str]]) -> list[tuple[bytes, int]]:
+    """Training strings: the segments of the sentences, but for scraps in another script than most of their sentence."""
+    out = []
+    for text, lang in samples:
+        e = encode([text])
+        keys = segment_bytes(e)
+        most = max(map(len, keys), default=0)
+        out += [(k[lo:lo + WINDOW], LANGS.index(lang)) for k in keys if len(k) >= max(8, most // 3) for lo in range(0, len(k), WINDOW)]
+    return out
 
 
 _MODELS: dict[str, BiGRU] = {}
@@ -288,8 +301,9 @@ def train(trusted: list[tuple[str, str]], weak: list[tuple[str, str]], seed: int
     if key in _MODELS:
         return _MODELS[key]
     first = BiGRU(seed=seed)
-    many = [windows(trusted, s) for s in range(3)]
-    first.fit(*[np.concatenate(x) for x in zip(*many)], epochs=EPOCHS[0])
+    sure = sequences(trusted)
+    if sure:
+        first.fit(sure, epochs=EPOCHS[0], batch=32, rate=0.012)
     good = []
     for lo in range(0, len(weak), 512):
         part = weak[lo:lo + 512]
@@ -297,10 +311,11 @@ def train(trusted: list[tuple[str, str]], weak: list[tuple[str, str]], seed: int
         p = first.segments(e)
         mass = np.zeros((len(part), len(LANGS)))
         np.add.at(mass, e["seg_rec"], p * (e["seg_hi"] - e["seg_lo"])[:, None])
-        good += [x for x, m in zip(part, mass) if m.sum() and m[LANGS.index(x[1])] > 0.6 * m.sum()]
+        good += [x for x, m in zip(part, mass) if m.sum() and m[LANGS.index(x[1])] >= DOUBT * m.sum()]
     model = BiGRU(seed=seed + 1)
-    parts = [windows(trusted + good, s) for s in (11,)] + [windows(trusted, s) for s in (21, 22)]
-    model.fit(*[np.concatenate(x) for x in zip(*parts)], epochs=max(EPOCHS[1], 1) * 2 if len(good) < 200 else EPOCHS[1] + 3)
+    both = sequences(good) + 3 * sure
+    if both:
+        model.fit(both, epochs=EPOCHS[1])
     _MODELS[key] = model
     return model
 
@@ -318,6 +333,22 @@ def training_rows(trusted: DataFrame, labelled: DataFrame) -> tuple[list[tuple[s
     return sure, weak[:WEAK_SENTENCES]
 
 
+def settle(p: np.ndarray, e: dict[str, np.ndarray]) -> np.ndarray:
+    """Segment probabilities weighed by what the record's other segments of the same script say: a change of language within
+    a script needs clear evidence."""
+    if not len(p):
+        return p
+    first = np.flatnonzero(np.diff(np.concatenate([[-1], e["word_seg"]])))
+    letters = np.add.reduceat(e["word_letters"], first).astype(float)
+    group = e["seg_rec"] * 64 + e["seg_script"]
+    _, at = np.unique(group, return_inverse=True)
+    pooled = np.zeros((at.max() + 1, p.shape[1]))
+    np.add.at(pooled, at, p * letters[:, None])
+    pooled /= pooled.sum(1, keepdims=True)
+    q = p * (pooled[at] + 1e-3) ** 2
+    return q / q.sum(1, keepdims=True)
+
+
 OUT = "tbl string, rec_id long, stored string, lang string, confidence double, segments array<struct<start_pos:int,end_pos:int,lang:string,confidence:double>>"
 
 
@@ -332,13 +363,13 @@ def identify(records: DataFrame, model: BiGRU, with_segments: bool = False) -> D
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         net = BiGRU()
         net.p = {k: np.frombuffer(v, np.float32).reshape(shapes[k]) for k, v in weights.items()}
-        net.h = net.p["uf"].shape[0]
+        net.h = net.p["ucf"].shape[0]
         for whole in batches:
             for pdf in _parts(whole):
                 n = len(pdf)
                 texts = [restore_text(t) if t else "" for t in pdf["text"]]
                 e = encode(texts)
-                p = net.segments(e)
+                p = settle(net.segments(e), e)
                 best = p.argmax(1)
                 seg_first = np.flatnonzero(np.diff(np.concatenate([[-1], e["word_seg"]]))) if len(e["word_seg"]) else np.zeros(0, np.int64)
                 letters = np.add.reduceat(e["word_letters"], seg_first) if len(seg_first) else np.zeros(0)
