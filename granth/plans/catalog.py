@@ -10,6 +10,8 @@ from granth.functions.labels import SPELLINGS, label
 from granth.operators import chat, chunking, dense, evaluation, fusion, lexical
 from granth.operators import knowledge_base as kb
 from granth.runtime import materialise, table
+from granth.sources.loaders import decode_text as decode_bytes
+from granth.sources.loaders import layout_rejoin as rejoin_layout
 
 K, CANDIDATES, TOP_K = 10, 25, 5
 LIMIT, OVERLAP = 40, 5
@@ -210,6 +212,21 @@ def kb_stats(s, d):
     return a.crossJoin(b).crossJoin(m)  # one row each
 
 
+def decode_text(s, d):
+    """Decoding cascade on literal bytes: UTF-8 with its mark, UTF-16, odd-length Windows-1252."""
+    df = s.createDataFrame([(i, bytes.fromhex(h)) for i, h, _ in RAW_BYTES], "id long, content binary")
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(text=pdf["content"].map(decode_bytes))[["id", "text"]]
+
+    return df.mapInPandas(run, "id long, text string")
+
+
+def layout_rejoin(s, d):
+    return rejoin_layout(s.createDataFrame(SPANS, "doc long, page int, seq int, text string, x0 double, y0 double, x1 double, y1 double, size double"))
+
+
 def load_dispatch(s, d):
     e = kb.extension("filename")
     return _docs(s, d).select("doc_id", kb.basename("filename").alias("basename"), e.alias("extension"), e.isin(*kb.SUPPORTED).cast("int").alias("supported"))
@@ -221,6 +238,11 @@ MESSAGES = [
     (3, 1, "assistant", "only"), (4, 1, "user", "a"), (4, 2, "assistant", "b"), (4, 3, "user", None), (4, 4, "user", "c"), (4, 5, "assistant", "d"),
 ]
 ANSWERS = [(1, "Fee is 50 [1]. See [3][1]."), (2, "none"), (3, "[12] and [2]"), (4, None)]
+RAW_BYTES = [(1, "efbbbfe0a4b9e0a4bee0a481", "हाँ"), (2, "636166e973", "cafés"), (3, "fffe410042093c09", "AूI".replace("ूI", "\u0942\u093c")), (4, "706c61696e", "plain")]
+SPANS = [
+    (1, 1, 1, "उपस्थि", 0.0, 90.0, 30.0, 100.0, 10.0), (1, 1, 2, "ति", 35.0, 90.0, 45.0, 100.0, 10.0), (1, 1, 3, "Name", 0.0, 102.0, 30.0, 112.0, 10.0), (1, 1, 4, "Fee", 40.0, 102.0, 60.0, 112.0, 10.0),
+    (1, 1, 5, "  ", 0.0, 110.0, 5.0, 118.0, 10.0), (1, 2, 1, "one", 0.0, 0.0, 20.0, 10.0, 10.0), (1, 2, 2, "two", 0.0, 40.0, 20.0, 50.0, 10.0),
+]
 RAW_QA = [(1, 'Sure: {"questions": [{"lang": "hi", "question": "शुल्क कितना है भाई?"}, {"lang": "fr", "question": "long enough text"}, {"lang": "en", "question": "short"}]} ok'), (2, "no json"), (3, '{"questions": [{"lang": "en", "question": "  What is the fee here?  "}]}'), (4, "{broken"), (5, None)]
 
 
@@ -364,7 +386,7 @@ def token_tax(s, d):
 QUERIES = {f.__name__: f for f in (
     normalize_text, detect_language, tokenize, split_sentences, devanagari_repair, garbled_flags, legacy_font_flags, page_quality, chunk_documents, dominant_language,
     term_freq, doc_freq, corpus_stats, bm25_topk, bm25_scoped, dense_topk, dense_scoped, rrf_fusion, hybrid_search, search_scoped, rerank_search,
-    dedup_exact, ingest_added, upload_status, delete_roundtrip, meta_upsert, index_staleness, list_documents, chunks_for_document, kb_scan, kb_stats, load_dispatch,
+    dedup_exact, ingest_added, upload_status, delete_roundtrip, meta_upsert, index_staleness, list_documents, chunks_for_document, kb_scan, kb_stats, load_dispatch, decode_text, layout_rejoin,
     clean_history, rewrite_prompt, citations, format_passages, answer_prompt, no_llm_answer,
     eval_metrics, eval_overall, eval_by_lang, ablation_markdown, qa_sample, qa_parse, qa_split, qa_valid, hard_negatives, triplets, study_sentences, fertility, token_tax,
 )}
@@ -552,6 +574,8 @@ SQL = {
     "kb_scan": "SELECT id, c.doc_id, page, c.language, token_count, filename, md5(c.text) AS digest FROM chunks c JOIN documents d ON c.doc_id = d.doc_id",
     "kb_stats": "SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM chunks) AS chunks, (SELECT max(value) FROM meta WHERE key = 'embedding_model') AS embedding_model",
     "load_dispatch": f"SELECT doc_id, {_BASE} AS basename, {_EXT} AS extension, ({_EXT} IN {_OK})::int AS supported FROM documents",
+    "decode_text": f"SELECT * FROM (VALUES {_values([(i, t) for i, _, t in RAW_BYTES])}) v(id, text)",
+    "layout_rejoin": "SELECT 1::bigint AS doc, 1 AS page, 'उपस्थिति' || chr(10) || 'Name Fee' AS text UNION ALL SELECT 1, 2, 'one' || chr(10) || chr(10) || 'two'",
     "clean_history": f"WITH {_HIST.replace('{n}', '4')} SELECT conv_id, turn_no, role, content FROM hist",
     "rewrite_prompt": f"WITH {_HIST.replace('{n}', '12')}, l AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn_no DESC) AS k FROM hist), t AS (SELECT conv_id, string_agg(role || ': ' || substring(content, 1, 500), chr(10) ORDER BY turn_no) AS t FROM l WHERE k <= 4 GROUP BY conv_id) SELECT conv_id, 'Conversation so far:' || chr(10) || t || chr(10) || chr(10) || 'Latest message: ' || question AS prompt FROM t JOIN (VALUES (1, 'और कब?'), (2, 'why'), (4, 'e')) v(conv_id, question) USING (conv_id)",
     "citations": f"SELECT id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(answer, '\\[(\\d+)\\]', 1), lambda x: x::int))), ',') AS cited FROM (VALUES {_values(ANSWERS)}) v(id, answer)",
