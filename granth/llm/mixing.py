@@ -74,19 +74,29 @@ def budgets(leaves: list[tuple[str, str, int]], targets: dict[str, tuple[float,
     return {(s, lang): leaf.budget for d in root.children.values() for lang, node in d.children.items() for s, leaf in node.children.items()}
 
 
-def mix(documents: DataFrame, targets: DataFrame, language, total_tokens: int | None = None, seed: int = 11) -> DataFrame:
+def reachable(leaves: list[tuple[str, str, int]], targets: dict[str, tuple[float, int]]) -> float:
+    """Largest total at which every source that has texts gets its target share within its repeats."""
+    have: dict[str, int] = defaultdict(int)
+    for s, _, n in leaves:
+        have[s] += n
+    return min((n * targets[s][1] / targets[s][0] for s, n in have.items()), default=0.0)
+
+
+def mix(documents: DataFrame, targets: DataFrame, language, total_tokens: int | str | None = None, seed: int = 11) -> DataFrame:
     """(source, language, doc_id, n_tokens, copies, tokens_used) of every text used.
 
     documents: doc_id, source, n_tokens and what language (a column) needs. total_tokens: size of the mixture; by default the
-    size of all texts of the listed sources, each once.
+    largest at which every source with texts reaches its target share; "pool" is the size of all listed texts, each once, at
+    which small sources may fall short.
     """
     spark = documents.sparkSession
     want = {r.source: (r.target_share, r.max_repeats) for r in targets.where("source IS NOT NULL AND target_share > 0").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).collect()}
     docs = documents.select("doc_id", "source", F.coalesce(language, F.lit("und")).alias("language"), "n_tokens").where(F.col("source").isin(list(want)) & (F.col("n_tokens") > 0))
     docs = materialise(docs, "mix")
     leaves = docs.groupBy("source", "language").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("rows")).collect()
-    total = total_tokens or sum(r.n for r in leaves)
-    budget = budgets([(r.source, r.language, r.n) for r in leaves], want, total)
+    known = [(r.source, r.language, r.n) for r in leaves]
+    total = sum(r.n for r in leaves) if total_tokens == "pool" else total_tokens or reachable(known, want)
+    budget = budgets(known, want, total)
     plan = []
     for r in leaves:
         b = budget[r.source, r.language]

@@ -125,7 +125,7 @@ def split_oversized(chunks: DataFrame, limit: int, overlap: int) -> DataFrame:
                     rows.append((cid, did, k, len(cuts), a, b, max(0, last - a), here, kind, text[at:spans[b - 1][1]]))
                     last = b
             out = pd.DataFrame(rows, columns=["chunk_id", "doc_id", "piece_no", "n_pieces", "start_word", "end_word", "overlap_words", "page", "cut", "text"])
-            out["doc_id"], out["page"] = out["doc_id"].astype("Int64"), out["page"].astype("Int32")
+            out = out.astype({"chunk_id": "Int64", "doc_id": "Int64", "page": "Int32"})
             yield out
 
     return big.mapInPandas(run, SCHEMA)

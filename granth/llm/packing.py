@@ -86,7 +86,7 @@ def pack(documents: DataFrame, capacities: DataFrame, group_tokens: int = GROUP_
         bins, free = first_fit_decreasing([e - s for _, _, s, e in rest], cap)
         rows += [(full + b, doc, k, s, e, e - s, free[b]) for b, (doc, k, s, e) in zip(bins, rest)]
         out = pd.DataFrame(rows, columns=["container_no", "doc_id", "piece_no", "start_token", "end_token", "size", "free"])
-        return out.assign(pack_id=pid, capacity_tokens=cap, group_no=group)[[c.split()[0] for c in SCHEMA.split(", ")]]
+        return out.astype({"doc_id": "Int64"}).assign(pack_id=pid, capacity_tokens=cap, group_no=group)[[c.split()[0] for c in SCHEMA.split(", ")]]
 
     return items.groupBy("pack_id", "capacity_tokens", "group_no").applyInPandas(run, SCHEMA)
 

@@ -73,9 +73,9 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p7_packing(spark, d))
 
 
-def _mixture(spark: SparkSession, d: str) -> DataFrame:
+def _mixture(spark: SparkSession, d: str, total: str | None = None) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", "language", "text")
-    return mixing.mix(materialise(sizes.with_tokens(docs.where("source IS NOT NULL").join(F.broadcast(table(spark, d, "mix_targets").select("source").dropDuplicates()), "source", "left_semi")).drop("text"), "sizes"), table(spark, d, "mix_targets"), label("language"))
+    return mixing.mix(materialise(sizes.with_tokens(docs.where("source IS NOT NULL").join(F.broadcast(table(spark, d, "mix_targets").select("source").dropDuplicates()), "source", "left_semi")).drop("text"), "sizes"), table(spark, d, "mix_targets"), label("language"), total)
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -131,7 +131,12 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_units(spark, d).select("doc_id", "start_pos", "end_pos")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_splits, p4_incremental, p5_found, p5_labels, p5_segments, p6_found, p6_repaired, p7_packing, p7_fill, p8_mixture, p8_shares, p9_found, p9_units)}
+def p8_pool_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of a mixture as large as all listed texts: small sources run out and pass their shares on."""
+    return mixing.share_report(materialise(_mixture(spark, d, "pool"), "mixture"), table(spark, d, "mix_targets"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_splits, p4_incremental, p5_found, p5_labels, p5_segments, p6_found, p6_repaired, p7_packing, p7_fill, p8_mixture, p8_shares, p8_pool_shares, p9_found, p9_units)}
 
 _BLANK = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 

@@ -28,7 +28,7 @@ def test_pieces_cover_and_keep_the_limit(words, limit, overlap):
 
 
 def test_oversized_pages_and_nulls(spark):
-    rows = [(1, 1, 0, 4, None, "w " * 6 + "\f" + "v " * 8), (2, 1, 1, None, None, "x " * 11), (3, 1, 2, 1, None, None), (4, None, 0, 1, None, ""), (5, 1, 3, 1, None, "y " * 10)]
+    rows = [(1, 1, 0, 4, None, "w " * 6 + "\f" + "v " * 8), (2, 1, 1, None, None, "x " * 11), (3, 1, 2, 1, None, None), (4, None, 0, 1, None, ""), (5, 1, 3, 1, None, "y " * 10), (None, 1, 4, 1, None, "short")]
     df = spark.createDataFrame(rows, CHUNK).withColumn("piece_no", F.lit(7))
     got = oversize.split_oversized(df, 10, 2).orderBy("chunk_id", "piece_no").collect()
     assert {r.chunk_id for r in got} == {1, 2}
@@ -205,6 +205,8 @@ def test_packing_is_whole(spark):
         assert r.size <= r.capacity_tokens and (r.piece_no == 0 or r.capacity_tokens == 10)
     assert all(v <= (10 if k[0] == 1 else 100) for k, v in used.items())
     assert per == {(p, i): n for p in (1, 2) for i, n in enumerate([0, 5, 10, 11, 25, 30, 7])}
+    odd = docs.unionByName(spark.createDataFrame([(None, 4), (3, None)], "doc_id long, n_tokens long").withColumn("size", F.lit("y")))
+    assert packing.pack(odd, caps.where("pack_id = 2")).count() == 9
     assert packing.pack(docs.limit(0), caps).count() == 0 and packing.pack(docs, caps.limit(0)).count() == 0
 
 
@@ -218,7 +220,9 @@ def test_budgets_prefer_siblings():
 def test_mixture_shares(spark):
     docs = spark.createDataFrame([(i, "a-x" if i % 3 else "b-x", 10 + i % 7, "hi") for i in range(900)] + [(9000, None, 5, None), (9001, "c", 5, "hi")], "doc_id long, source string, n_tokens long, language string")
     t = spark.createDataFrame([("a-x", 0.3, 1), ("b-x", 0.6, 3), ("gone", 0.1, 2)], "source string, target_share double, max_repeats int")
-    m = mixing.mix(docs, t, F.col("language"))
+    exact = {r.source: r.reached_share for r in mixing.share_report(mixing.mix(docs, t, F.col("language")), t).collect()}
+    assert abs(exact["a-x"] - 0.3 / 0.9) < 0.01 and abs(exact["b-x"] - 0.6 / 0.9) < 0.01
+    m = mixing.mix(docs, t, F.col("language"), "pool")
     share = {r.source: r for r in mixing.share_report(m, t).collect()}
     assert abs(share["a-x"].reached_share - 1 / 3) < 0.01 and share["b-x"].most_copies <= 3 and share["gone"].reached_share == 0
     assert mixing.mix(docs.limit(0), t, F.col("language")).count() == 0
@@ -259,7 +263,7 @@ def test_units_cover_everything(text):
 
 
 def test_sentences_nulls(spark):
-    df = spark.createDataFrame([(1, None), (2, " \n "), (3, "A b.")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, None), (2, " \n "), (3, "A b."), (None, None)], "doc_id long, text string")
     assert [tuple(r) for r in sentences.sentences(df).collect()] == [(3, 0, 0, 4)]
 
 
