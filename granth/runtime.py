@@ -16,6 +16,10 @@ BLANK = r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\
 BROADCAST_BYTES = 8 << 20
 
 
+#: Paths that materialise() wrote in this process.
+_WRITTEN: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,6 +44,7 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Write once to the shared folder and read again: cuts lineage, survives lost executors, keeps columns prunable."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -52,3 +57,13 @@ def meta_int(spark: SparkSession, sf_dir: str, key: str, default: int) -> int:
     """Integer value of the key/value table; default where the key is missing or not a number."""
     row = table(spark, sf_dir, "meta").where(F.col("key") == key).agg(F.max(F.expr("try_cast(value AS INT)"))).first()
     return default if row is None or row[0] is None else int(row[0])
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete what materialise() wrote for this session and return how many tables that were; results must have been read before."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while _WRITTEN:
+        at = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        n += 1
+    return n

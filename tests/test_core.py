@@ -186,3 +186,14 @@ def test_entry_without_llm():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_materialised_tables_are_cleared(spark):
+    import os
+
+    from granth import runtime
+
+    df = runtime.materialise(spark.range(3), "three")
+    path = runtime._WRITTEN[-1]
+    assert df.count() == 3 and os.path.isdir(path) and path.startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert runtime.clear(spark) >= 1 and not os.path.exists(path)
