@@ -75,19 +75,30 @@ def budgets(leaves: list[tuple[str, str, int]], targets: dict[str, tuple[float,
 
 
 def reachable(leaves: list[tuple[str, str, int]], targets: dict[str, tuple[float, int]]) -> float:
-    """Largest total at which every source that has texts gets its target share within its repeats."""
+    """Largest total at which every source that has texts and may be used gets its target share within its repeats."""
     have: dict[str, int] = defaultdict(int)
     for s, _, n in leaves:
         have[s] += n
-    return min((n * targets[s][1] / targets[s][0] for s, n in have.items()), default=0.0)
+    return min((n * targets[s][1] / targets[s][0] for s, n in have.items() if targets[s][1] > 0), default=0.0)
+
+
+def size(leaves: list[tuple[str, str, int]], targets: dict[str, tuple[float, int]], total_tokens: int | str | None) -> float:
+    """Tokens of the mixture that total_tokens asks for (see mix)."""
+    pool = sum(n for s, _, n in leaves if targets[s][1] > 0)
+    if total_tokens == "pool":
+        return pool
+    if total_tokens == "whole":
+        return max(pool, reachable(leaves, targets))
+    return reachable(leaves, targets) if total_tokens is None else total_tokens
 
 
 def mix(documents: DataFrame, targets: DataFrame, language, total_tokens: int | str | None = None, seed: int = 11) -> DataFrame:
     """(source, language, doc_id, n_tokens, copies, tokens_used) of every text used.
 
     documents: doc_id, source, n_tokens and what language (a column) needs. total_tokens: size of the mixture; by default the
-    largest at which every source with texts reaches its target share; "pool" is the size of all listed texts, each once, at
-    which small sources may fall short.
+    largest at which every source with texts reaches its target share; "pool" is the size of all listed texts that may be used,
+    each once, at which small sources may fall short; "whole" is the larger of the two, so that no source gets fewer tokens than
+    in either.
     """
     spark = documents.sparkSession
     want = {r.source: (r.target_share, r.max_repeats) for r in targets.where("source IS NOT NULL AND target_share > 0").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).collect()}
@@ -95,8 +106,7 @@ def mix(documents: DataFrame, targets: DataFrame, language, total_tokens: int |
     docs = materialise(docs, "mix")
     leaves = docs.groupBy("source", "language").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("rows")).collect()
     known = [(r.source, r.language, r.n) for r in leaves]
-    total = sum(r.n for r in leaves) if total_tokens == "pool" else total_tokens or reachable(known, want)
-    budget = budgets(known, want, total)
+    budget = budgets(known, want, size(known, want, total_tokens))
     plan = []
     for r in leaves:
         b = budget[r.source, r.language]

@@ -79,11 +79,22 @@ def _mixture(spark: SparkSession, d: str, total: str | None = None) -> DataFrame
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return _mixture(spark, d)
+    """Mixture of the whole pool: small sources run out and pass their shares on."""
+    return _mixture(spark, d, "whole")
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.share_report(materialise(_mixture(spark, d), "mixture"), table(spark, d, "mix_targets"))
+    """Shares that p8_mixture really reaches."""
+    return mixing.share_report(materialise(p8_mixture(spark, d), "mixture"), table(spark, d, "mix_targets"))
+
+
+def p8_exact_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Largest mixture in which every source that has texts reaches its target share."""
+    return _mixture(spark, d)
+
+
+def p8_exact_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.share_report(materialise(p8_exact_mixture(spark, d), "mixture"), table(spark, d, "mix_targets"))
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
@@ -136,7 +147,7 @@ def p8_pool_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.share_report(materialise(_mixture(spark, d, "pool"), "mixture"), table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_splits, p4_incremental, p5_found, p5_labels, p5_segments, p6_found, p6_repaired, p7_packing, p7_fill, p8_mixture, p8_shares, p8_pool_shares, p9_found, p9_units)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_splits, p4_incremental, p5_found, p5_labels, p5_segments, p6_found, p6_repaired, p7_packing, p7_fill, p8_mixture, p8_shares, p8_exact_mixture, p8_exact_shares, p8_pool_shares, p9_found, p9_units)}
 
 _BLANK = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 

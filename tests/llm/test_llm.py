@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from granth.llm import encoding, language, linked_splits, mixing, near_duplicates, oversize, packing, scan_noise, sentences, sizes
+from granth.llm import encoding, language, linked_splits, mixing, near_duplicates, oversize, packing, queries, scan_noise, sentences, sizes
 from granth.llm.boosting import Boosted
 
 CHUNK = "id long, doc_id long, chunk_index int, page int, language string, text string"
@@ -229,6 +229,28 @@ def test_mixture_shares(spark):
     assert mixing.mix(docs.limit(0), t, F.col("language")).count() == 0
 
 
+def test_whole_mixture_uses_the_pool():
+    want = {"a-x": (0.5, 1), "b-x": (0.3, 2), "c-tiny": (0.1, 3), "d-no": (0.1, 0)}
+    leaves = [("a-x", "hi", 5000), ("b-x", "hi", 3000), ("c-tiny", "en", 2), ("d-no", "hi", 900)]
+    exact, whole = (mixing.budgets(leaves, want, mixing.size(leaves, want, t)) for t in (None, "whole"))
+    # one short text, or a source that may never be used, does not set the size of the whole
+    assert abs(sum(exact.values()) - 60) < 1e-6 and abs(sum(whole.values()) - 8002) < 1e-6
+    assert whole["c-tiny", "en"] == 6 and whole["d-no", "hi"] == exact["d-no", "hi"] == 0
+    assert all(whole[k] >= exact[k] for k in exact)
+    # repeats may make the exact size the larger one: nothing of it is given up
+    many = {"a-x": (0.5, 4), "b-x": (0.5, 4)}
+    assert mixing.size(leaves[:2], many, "whole") == mixing.size(leaves[:2], many, None) == 24000
+
+
+def test_registered_mixture_is_whole(spark, tmp_path):
+    docs = [(i, "a-x", "hi", "paani bachao " * 5) for i in range(200)] + [(500, "b-x", "hi", "short"), (501, "c-x", "hi", "never used")]
+    spark.createDataFrame(docs, "doc_id long, source string, language string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("a-x", 0.5, 1), ("b-x", 0.3, 3), ("c-x", 0.2, 0)], "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    got = {r.source: r for r in queries.p8_shares(spark, str(tmp_path)).collect()}
+    assert got["a-x"].texts == 200 and got["b-x"].most_copies == 3 and got["c-x"].texts == 0
+    assert 0 < queries.p8_exact_mixture(spark, str(tmp_path)).count() < 10
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (4, "a b " * 40000)], "doc_id long, text string")
     n = {r.doc_id: r.n_tokens for r in sizes.with_tokens(df).collect()}
