@@ -3,8 +3,8 @@
 Lines are judged in pairs with their neighbours by a boosted classifier of furniture, trained on lines that repeat within
 their document against lines of flowing text (a bounded sample of whole documents). Page numbers must follow the document's
 own numbering. Words cut at line ends are joined, or kept as compounds, by what the clean front matter of all documents
-knows. Every other word that the front matter does not know looks up correction candidates in an inverted index of
-character q-grams; a boosted ranker, trained on words that were corrupted on purpose, accepts or rejects the best one.
+knows. Every other word that the front matter does not know, also with the outer signs that may be its own misread letters, looks up
+correction candidates in an inverted index of character q-grams; a boosted ranker, trained on words that were corrupted on purpose, accepts or rejects the best one.
 
 The lexicon counts words over all documents; every distinct unknown word of all chunks is looked up once. Nulls and empty texts
 have no noise. A chunk's own repeated words count once. Pages that are null borrow the page of the chunk's neighbours.
@@ -19,7 +19,7 @@ from math import log1p
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -37,6 +37,9 @@ LOOK_ALIKES = {
 WEAK_PAIRS = {("a", "o"), ("n", "u"), ("u", "v"), ("v", "u"), ("y", "v"), ("f", "t"), ("t", "f"), ("i", "l"), ("l", "i"), ("i", "j"), ("n", "ri"), ("c", "e"), ("h", "li"), ("b", "h"), ("m", "nn"), ("व", "ब"), ("ब", "व"), ("ढ", "द"), ("फ", "क"), ("म", "भ"), ("य", "थ"), ("प", "ष"), ("rn", "m"), ("cl", "d"), ("झ", "भ"), ("ध", "घ"), ("g", "q")}
 HYPHENS = "\\-‐\xad¬"  # as the body of a character class
 PUNCTUATION = ".,;:?()\"'…।॥|“”‘’[]{}<>~!*•·#%&=+_^`"
+#: Look-alikes that also stand around words, and how many of them on each side may belong to the word.
+EDGE_SIGNS = "".join(sorted({a for alts in LOOK_ALIKES.values() for a in alts} & set(PUNCTUATION)))
+EDGE_DEPTH = 2
 DIGITS = {chr(0x966 + k): str(k) for k in range(10)} | {chr(0x9E6 + k): str(k) for k in range(10)} | {chr(0x660 + k): str(k) for k in range(10)} | {chr(0x6F0 + k): str(k) for k in range(10)} | {chr(0xBE6 + k): str(k) for k in range(10)}
 
 Q = 3
@@ -63,6 +66,31 @@ def tokens(text: str) -> list[str]:
     return [w for w in (x.strip(PUNCTUATION) for x in _SPLIT.split(text.lower())) if len(w) > 1 and _LETTER.search(w)]
 
 
+def edge_forms(raw: str) -> list[tuple[str, str]]:
+    """(word, form) for each form of a written word that keeps outer signs which may be its own misread letters, fewest first."""
+    word = raw.strip(PUNCTUATION)
+    if len(word) == len(raw) or not _LETTER.search(word):
+        return []
+    start = len(raw) - len(raw.lstrip(PUNCTUATION))
+    end = start + len(word)
+    a, b = start, end
+    while a and start - a < EDGE_DEPTH and raw[a - 1] in EDGE_SIGNS:
+        a -= 1
+    while b < len(raw) and b - end < EDGE_DEPTH and raw[b] in EDGE_SIGNS:
+        b += 1
+    if len(word) == 1 and a < start and ")" in raw[end:]:  # an item's letter in brackets
+        a = start
+    cut = sorted((end - start + i + j, i, j) for i in range(start - a + 1) for j in range(b - end + 1) if i + j)
+    return [(word, raw[start - i:end + j]) for _, i, j in cut]
+
+
+def edge_words(text: str, known: set[str] | None) -> set[str]:
+    """Forms with outer signs of the words that are unknown without them."""
+    if not any(c in text for c in EDGE_SIGNS):
+        return set()
+    return {f for x in _SPLIT.split(text.lower()) for w, f in edge_forms(x) if known is None or w not in known}
+
+
 def roman(s: str) -> int | None:
     value, last = 0, 0
     for c in reversed(s.lower()):
@@ -340,17 +368,21 @@ def train_ranker(lexicon: list[tuple[str, int]], seed: int = 7) -> Boosted:
 
 
 # -- distributed ----------------------------------------------------------------------------------------------------------
+def _bare(word: Column | str) -> Column:
+    strip = "[" + re.sub(r"([\[\]\\^&\-])", r"\\\1", PUNCTUATION) + "]+"
+    return F.regexp_replace(F.regexp_replace(word, f"^{strip}", ""), f"{strip}$", "")
+
+
 def lexicon(documents: DataFrame) -> DataFrame:
     """(word, clean): in how many front matters each word, or compound with its hyphen, stands; each written form counts.
 
     Texts are cut at blanks inside the JVM; only distinct written forms are stripped of punctuation and cut at hyphens.
     """
-    strip = "[" + re.sub(r"([\[\]\\^&\-])", r"\\\1", PUNCTUATION) + "]+"
     raw = documents.select(F.explode(F.array_distinct(F.split(F.lower("text"), f"[{BLANK}]+"))).alias("raw")).groupBy("raw").agg(F.count("*").alias("n"))
-    bare = F.regexp_replace(F.regexp_replace(F.translate("raw", "‐", "-"), f"^{strip}", ""), f"{strip}$", "")
+    bare = _bare(F.translate("raw", "‐", "-"))
     raw = raw.where(F.col("raw").rlike(r"\p{L}")).select(bare.alias("raw"), "n")
     parts = raw.select(F.explode(F.array_distinct(F.array_append(F.split("raw", r"[\-–—/]+"), F.col("raw")))).alias("word"), "n")
-    inner = parts.select(F.regexp_replace(F.regexp_replace("word", f"^{strip}", ""), f"{strip}$", "").alias("word"), "n")
+    inner = parts.select(_bare("word").alias("word"), "n")
     return inner.where((F.length("word") > 1) & F.col("word").rlike(r"\p{L}")).groupBy("word").agg(F.sum("n").alias("clean")).where("clean > 1")
 
 
@@ -360,7 +392,7 @@ SCAN = "chunk_id long, doc_id long, page int, words array<string>, cuts array<st
 def parse(segs: list[Segment], score: np.ndarray, known: set[str] | None) -> tuple[list[str], list[tuple[str, str]], list[tuple[int, str, float]], list[tuple[int, int, str]]]:
     """(words unknown so far, cut words, possible header lines, possible page numbers) of one text."""
     if len(segs) < 2:
-        one = {w for s in segs for w in tokens(s.text)}
+        one = {w for s in segs for w in (*tokens(s.text), *edge_words(s.text, known))}
         return [w for w in one if known is None or w not in known], [], [], []
     lines, numbers, body, cuts = [], [], [], []
     for s, p in zip(segs, score):
@@ -384,9 +416,12 @@ def parse(segs: list[Segment], score: np.ndarray, known: set[str] | None) -> tup
                 t = t[: m.start()]
                 if carry:
                     t = t[len(carry):] if t.startswith(carry) else t
-                words.update(tokens(t))
+                words.update(tokens(t), edge_words(t, known))
                 if known is None or left + r in known or f"{left}-{r}" not in known:
                     words.add(left + r)
+                    if known is None or left + r not in known:
+                        # the signs within the word, at the cut, are left out of both
+                        words.update(f for _, f in edge_forms(m.group(1).lower().rstrip(PUNCTUATION) + right.group().lower().lstrip(PUNCTUATION)))
                 else:
                     words.update((left, r))
                 carry = right.group()
@@ -394,7 +429,7 @@ def parse(segs: list[Segment], score: np.ndarray, known: set[str] | None) -> tup
         if carry and t.startswith(carry):
             t = t[len(carry):]
         carry = ""
-        words.update(tokens(t))
+        words.update(tokens(t), edge_words(t, known))
     return [w for w in words if len(w) > 1 and (known is None or w not in known)], cuts, lines, numbers
 
 
@@ -464,7 +499,8 @@ class Noise:
         self.furniture = Furniture().fit(training_docs(chunks))
         self.scan = materialise(scan(chunks, self.furniture, known), "scan")
         words = self.scan.select("chunk_id", F.explode("words").alias("word"))
-        unknown = words.groupBy("word").agg(F.count("*").alias("seen")).join(self.lex.select("word"), "word", "left_anti")
+        unknown = words.groupBy("word").agg(F.count("*").alias("seen")).withColumn("bare", _bare("word"))
+        unknown = unknown.join(self.lex.select(F.col("word").alias("bare")), "bare", "left_anti").drop("bare")
         self.fixes = materialise(corrections(unknown, self.lex, self.ranker), "fixes")
         self.misreads = words.join(small_side(self.fixes, 128), "word").select("chunk_id", "word", "replacement")
 
@@ -545,9 +581,10 @@ def rebuild(text: str, furniture_at: set[int], joins: set[tuple[str, str]], fixe
 
     def swap(m: re.Match) -> str:
         w = m.group().strip(PUNCTUATION)
-        f = fixes.get(w.lower())
-        if f is None:
+        w = next((x for x in (w, *(form for _, form in edge_forms(m.group()))) if x.lower() in fixes), None)
+        if w is None:
             return m.group()
+        f = fixes[w.lower()]
         f = f.upper() if w.isupper() and len(w) > 1 else f[:1].upper() + f[1:] if w[:1].isupper() else f
         return m.group().replace(w, f, 1)
 

@@ -299,6 +299,27 @@ def test_page_numbers_and_alignment():
     assert look("acounts", "accounts")[5] == 1  # a lost letter is no misread
 
 
+def test_edge_signs_may_be_letters():
+    assert scan_noise.EDGE_SIGNS == "!(+|"
+    forms = lambda x: [f for _, f in scan_noise.edge_forms(x)]
+    assert forms("baak!,") == ["baak!"] and forms('"+otal') == ["+otal"] and forms("k!.") == ["k!"]
+    assert forms("(a)") == forms("word.") == forms("word") == forms("|") == [] and set(forms("+es+")) == {"+es", "es+", "+es+"}
+    assert scan_noise.edge_words("jaldi! mand! (ertificate)", {"jaldi"}) == {"mand!", "(ertificate"}
+    fixes = {"baak!": "baaki", "+otal": "total", "w0rk": "work"}
+    assert scan_noise.rebuild("BAAK!, +otal w0rk! (jaldi!)", set(), set(), fixes) == "BAAKI, total work! (jaldi!)"
+
+
+def test_words_misread_at_an_edge_are_found(spark):
+    vocab = "baaki total certificate pahunchi zaroori mandi council farmers receipt committee approved claims transfer register storage".split()
+    docs = spark.createDataFrame([(i, " ".join(vocab)) for i in range(30)], "doc_id long, text string")
+    rows = [(1, 1, 0, 1, None, "council baak! hai\nfarmers +otal receipt"), (2, 1, 1, 2, None, "council farmers! (receipt) claims+\n(approved transfer!"), (3, 1, 2, 3, None, "the (ertificate and zar-\noor! council")]
+    noise = scan_noise.Noise(spark.createDataFrame(rows, CHUNK), docs)
+    fixes = {(r.chunk_id, r.word): r.replacement for r in noise.misreads.collect()}
+    assert fixes == {(1, "baak!"): "baaki", (1, "+otal"): "total", (3, "(ertificate"): "certificate", (3, "zaroor!"): "zaroori"}
+    text = {r.chunk_id: r.text for r in scan_noise.repair(noise).collect()}
+    assert text[1] == "council baaki hai farmers total receipt" and text[3] == "the certificate and zaroori council"
+
+
 def test_boosting_separates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 3))
