@@ -2,7 +2,8 @@
 
 Candidate gaps are natural boundaries (page, paragraph, line and sentence ends). At each gap the word counts of the
 blocks on both sides are compared; the depth of the similarity valley, plus a bonus for stronger boundaries, ranks the
-gaps. Every piece takes the deepest valley in its size window; without any boundary it is cut at the word limit.
+gaps. Every piece takes the deepest valley in its size window, or the deepest before it if the window holds no gap; without
+any boundary it is cut at the word limit.
 
 Sizes are words (maximal runs of non-blank characters), whatever token_count says. A null or empty text has no words and
 is never oversized. The page of a piece is the chunk's page plus the form feeds before its first word; null stays null.
@@ -101,6 +102,12 @@ def cut_points(text: str, limit: int, overlap: int, block: int = BLOCK) -> list[
             if best is None or depth[gaps[k]] >= depth[best]:
                 best = gaps[k]
             k += 1
+        if best is None:  # a short piece rather than a cut inside a sentence; the next one must start later than this one
+            k = pos - 1
+            while k >= 0 and gaps[k] > max(first, start + overlap):
+                if best is None or depth[gaps[k]] > depth[best]:
+                    best = gaps[k]
+                k -= 1
         end, kind = (best, kinds[best]) if best is not None else (room, "limit")
         out.append((start, end, kind))
         first, start = end, max(start + 1, end - overlap)

@@ -27,6 +27,18 @@ def test_pieces_cover_and_keep_the_limit(words, limit, overlap):
         assert 0 <= b - a2 <= overlap
 
 
+def test_early_boundary_before_a_hard_cut():
+    text = "aa " * 19 + "end. " + "bb " * 130 + "end. " + "cc " * 30
+    cuts = oversize.cut_points(text, 100, 10)
+    assert cuts[0] == (0, 20, "sentence") and (10, 110, "limit") in cuts
+    kinds = oversize._gaps(text, [m.span() for m in re.finditer(r"\S+", text)])
+    for (a, b, kind), (a2, _, _) in zip(cuts, cuts[1:]):
+        assert a2 > a and b > a
+        if kind == "limit":
+            before = max([0, *(e for _, e, _ in cuts if e < b)])
+            assert not [g for g in kinds if max(before, a + 10) < g <= b]
+
+
 def test_oversized_pages_and_nulls(spark):
     rows = [(1, 1, 0, 4, None, "w " * 6 + "\f" + "v " * 8), (2, 1, 1, None, None, "x " * 11), (3, 1, 2, 1, None, None), (4, None, 0, 1, None, ""), (5, 1, 3, 1, None, "y " * 10), (None, 1, 4, 1, None, "short")]
     df = spark.createDataFrame(rows, CHUNK).withColumn("piece_no", F.lit(7))
