@@ -180,6 +180,16 @@ def test_garble_round_trip(word):
     assert encoding.restore_text(word) == word
 
 
+def test_restored_text_keeps_devanagari():
+    word = "नमपर"  # each letter's two bytes could be ASCII
+    assert encoding.turn_utf16(word) is not None and encoding.restore_text(f"{word} â€™ {word}").split()[::2] == [word, word]
+    lost = "hello good world".encode().decode("utf-16-le")
+    assert encoding.restore_text(lost) == "hello good world"
+    hindi = "यह घर है ".encode() + b" "
+    turned = (hindi + b" " * (len(hindi) % 2)).decode("utf-16-le", "surrogatepass")
+    assert "घर" in encoding.restore_text(turned + " â€™")
+
+
 def test_records_are_found_and_restored(spark):
     hi, both = "शुल्क मार्च में देना है", "café – नियम"
     texts = [hi, hi.encode().decode("cp1252", "replace"), both, both.encode().decode("latin-1"), "50 °C, ½ spoon, § 4, “ok” – naïve", None, "", "plain", "The fee is due in March. ".encode().decode("utf-16-le", "ignore"), "lost �5 here", "über"]
