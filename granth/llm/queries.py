@@ -105,7 +105,8 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _network(spark: SparkSession, d: str) -> language.BiGRU:
-    return language.train(*language.training_rows(table(spark, d, "lang_samples"), table(spark, d, "documents").select("text", F.col("language").alias("lang"))))
+    asked = table(spark, d, "qa_train").select(F.lit("qa_train").alias("tbl"), F.col("qa_id").alias("rec_id"), F.col("lang").alias("stored"), F.col("query").alias("text"))
+    return language.train(*language.training_rows(table(spark, d, "lang_samples"), _labelled(spark, d).unionByName(asked)))
 
 
 def p5_labels(spark: SparkSession, d: str) -> DataFrame:
