@@ -1,21 +1,25 @@
 """Problem 1: noise in text from scanned pages: words cut at line ends, misread characters, running headers, page numbers.
 
-Lines are judged in pairs with their neighbours by a boosted classifier of furniture, trained on lines that repeat within
-their document against lines of flowing text (a bounded sample of whole documents). Page numbers must follow the document's
-own numbering. Words cut at line ends are joined, or kept as compounds, by what the clean front matter of all documents
-knows. Every other word that the front matter does not know, also with the outer signs that may be its own misread letters, looks up
-correction candidates in an inverted index of character q-grams; a boosted ranker, trained on words that were corrupted on purpose, accepts or rejects the best one.
-
-The lexicon counts words over all documents; every distinct unknown word of all chunks is looked up once. Nulls and empty texts
-have no noise. A chunk's own repeated words count once. Pages that are null borrow the page of the chunk's neighbours.
+Lines are judged in pairs with their neighbours: a boosted classifier of furniture, trained on lines that repeat within their
+document against lines of flowing text (a bounded sample of whole documents), finds headers, and a second one tells words that
+were cut at a line end from compounds broken at their own hyphen. It is trained on words of the front matters that were cut on
+purpose and on their compounds, and looks at how often both readings and both halves stand there. Page numbers must follow
+the document's own numbering. Every other word that the front matters do not know, also with the outer signs that may be its
+own misread letters, looks up correction candidates in an inverted index of character q-grams; a boosted ranker, trained on
+words that were corrupted on purpose, accepts or rejects the best one.
+
+The lexicon counts words over all documents and is only ever joined, whatever its size; every distinct unknown word of all chunks
+is looked up once. Nulls and empty texts have no noise. A chunk's own repeated words count once. Pages that are null borrow the
+page of the chunk's neighbours.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from math import log1p
+from math import ceil, log1p
 
 import numpy as np
 import pandas as pd
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from granth.llm.boosting import Boosted
-from granth.runtime import BLANK, BROADCAST_BYTES, materialise, small_side
+from granth.runtime import BLANK, materialise, small_side
 
 # -- fixed values: what a scanner confuses ------------------------------------------------------------------------------
 #: Right character to the look-alikes it is read as.
@@ -47,9 +51,10 @@ Q = 3
 TRAIN_DOCS = 400
 TRAIN_CHUNKS = 3000
 TRAIN_WORDS = 1500
-#: Candidates must share this part of the q-grams of the longer word.
+#: Candidates must share this part of the q-grams of the longer word, whose number may differ by this much.
 MIN_GRAMS = 0.2
-FURNITURE, MAYBE, MISREAD = 0.5, 0.12, 0.5
+BAND = 3
+FURNITURE, MAYBE, MISREAD, CUT_WORD = 0.5, 0.12, 0.5, 0.5
 WRAPPED = 110
 
 _SPLIT = re.compile(r"[\s\-‐–—/]+")
@@ -84,11 +89,11 @@ def edge_forms(raw: str) -> list[tuple[str, str]]:
     return [(word, raw[start - i:end + j]) for _, i, j in cut]
 
 
-def edge_words(text: str, known: set[str] | None) -> set[str]:
-    """Forms with outer signs of the words that are unknown without them."""
+def edge_words(text: str) -> set[str]:
+    """Forms of the words with the outer signs that may be misread letters; those whose word is known are left out later."""
     if not any(c in text for c in EDGE_SIGNS):
         return set()
-    return {f for x in _SPLIT.split(text.lower()) for w, f in edge_forms(x) if known is None or w not in known}
+    return {f for x in _SPLIT.split(text.lower()) for _, f in edge_forms(x)}
 
 
 def roman(s: str) -> int | None:
@@ -367,6 +372,51 @@ def train_ranker(lexicon: list[tuple[str, int]], seed: int = 7) -> Boosted:
     return model.fit(np.array(xs), np.array(ys)) if xs else model
 
 
+def cut_features(left: str, right: str, one: int, two: int, a: int, b: int, misread: bool) -> list[float]:
+    """A line that ends in left and a hyphen, and the next one that starts with right; one, two, a, b: clean counts of the word
+    as one, of the compound, and of both halves; misread: the word as one is a misread of a known word."""
+    l1, l2, la, lb = log1p(one), log1p(two), log1p(a), log1p(b)
+    return [l1, l2, l1 - l2, la, lb, min(la, lb), min(la, lb) - l1, misread, len(left), len(right), min(len(left), len(right)), left.isascii()]
+
+
+def train_joins(words: list[tuple[str, int]], compounds: list[tuple[str, int]], count: dict[str, int], seed: int = 9) -> Boosted:
+    """Line-pair classifier of cut words (1) against compounds broken at their hyphen (0), from bounded samples of (word, clean count).
+
+    count: clean counts of everything that cut_examples() asks for. Some examples forget the count of the whole, as a rare or
+    misread word has none: a cut word is then known as a misread at best, a compound by its halves alone.
+    """
+    rng = np.random.default_rng(seed)
+    xs, ys = [], []
+    for kind, left, right in cut_examples(words, compounds):
+        whole, hyphened = left + right, f"{left}-{right}"
+        one, two, a, b = (count.get(w, 0) for w in (whole, hyphened, left, right))
+        if kind == "forgotten":
+            xs.append(cut_features(left, right, 0, two, a, b, bool(rng.random() < 0.5)))
+        elif kind == "rare":
+            xs.append(cut_features(left, right, 0, 0, a, b, False))
+        else:
+            xs.append(cut_features(left, right, one, two, a, b, False))
+        ys.append(kind in ("cut", "forgotten"))
+    model = Boosted(trees=40, depth=3)
+    return model.fit(np.array(xs, float), np.array(ys, float)) if xs else model
+
+
+def cut_examples(words: list[tuple[str, int]], compounds: list[tuple[str, int]]) -> list[tuple[str, str, str]]:
+    """(kind, left, right): every word cut at a place of its own, and compounds cut at their hyphens; a part of both as if unseen."""
+    out = []
+    for w, _ in words:
+        if len(w) >= 4:
+            k = 2 + zlib.crc32(w.encode("utf-8", "surrogatepass")) % (len(w) - 3)
+            out.append(("forgotten" if k % 5 == 0 else "cut", w[:k], w[k:]))
+    for w, _ in compounds:
+        parts = w.split("-")
+        for k in range(1, len(parts)):
+            left, right = "-".join(parts[:k]), "-".join(parts[k:])
+            if left and right:
+                out += [("compound", left, right), ("rare", left, right)]
+    return out
+
+
 # -- distributed ----------------------------------------------------------------------------------------------------------
 def _bare(word: Column | str) -> Column:
     strip = "[" + re.sub(r"([\[\]\\^&\-])", r"\\\1", PUNCTUATION) + "]+"
@@ -386,14 +436,17 @@ def lexicon(documents: DataFrame) -> DataFrame:
     return inner.where((F.length("word") > 1) & F.col("word").rlike(r"\p{L}")).groupBy("word").agg(F.sum("n").alias("clean")).where("clean > 1")
 
 
-SCAN = "chunk_id long, doc_id long, page int, words array<string>, cuts array<struct<left:string,right:string>>, lines array<struct<at:int,skeleton:string,score:double>>, numbers array<struct<at:int,value:int,style:string>>"
+SCAN = "chunk_id long, doc_id long, chunk_index int, page int, words array<string>, cuts array<struct<left:string,right:string,written:string>>, lines array<struct<at:int,skeleton:string,score:double>>, numbers array<struct<at:int,value:int,style:string>>"
 
 
-def parse(segs: list[Segment], score: np.ndarray, known: set[str] | None) -> tuple[list[str], list[tuple[str, str]], list[tuple[int, str, float]], list[tuple[int, int, str]]]:
-    """(words unknown so far, cut words, possible header lines, possible page numbers) of one text."""
+def parse(segs: list[Segment], score: np.ndarray) -> tuple[list[str], list[tuple[str, str, str]], list[tuple[int, str, float]], list[tuple[int, int, str]]]:
+    """(words, line pairs that may cut a word, possible header lines, possible page numbers) of one text.
+
+    A cut is (left, right, written): what stands before the hyphen, what starts the next line, and both as written but for the
+    signs at the cut. Its halves are no words of the text; the line pair's classifier decides what they are.
+    """
     if len(segs) < 2:
-        one = {w for s in segs for w in (*tokens(s.text), *edge_words(s.text, known))}
-        return [w for w in one if known is None or w not in known], [], [], []
+        return sorted({w for s in segs for w in (*tokens(s.text), *edge_words(s.text))}), [], [], []
     lines, numbers, body, cuts = [], [], [], []
     for s, p in zip(segs, score):
         if s.page is not None:
@@ -409,31 +462,20 @@ def parse(segs: list[Segment], score: np.ndarray, known: set[str] | None) -> tup
         m = _CUT.search(t)
         nxt = body[i + 1].text if i + 1 < len(body) else ""
         right = re.match(rf"[^\s{HYPHENS}/]+", nxt) if m and nxt else None
+        if carry and t.startswith(carry):
+            t = t[len(carry):]
+        carry = ""
         if m and right and (m.group(1)[-1].isalpha() or m.group(1)[-1] >= "ऀ" and not m.group(1)[-1].isdigit()):
             left, r = m.group(1).lower().strip(PUNCTUATION), right.group().lower().strip(PUNCTUATION)
             if left and r and (r[0].isalpha() or r[0] >= "ऀ"):
-                cuts.append((left, r))
-                t = t[: m.start()]
-                if carry:
-                    t = t[len(carry):] if t.startswith(carry) else t
-                words.update(tokens(t), edge_words(t, known))
-                if known is None or left + r in known or f"{left}-{r}" not in known:
-                    words.add(left + r)
-                    if known is None or left + r not in known:
-                        # the signs within the word, at the cut, are left out of both
-                        words.update(f for _, f in edge_forms(m.group(1).lower().rstrip(PUNCTUATION) + right.group().lower().lstrip(PUNCTUATION)))
-                else:
-                    words.update((left, r))
+                cuts.append((left, r, m.group(1).lower().rstrip(PUNCTUATION) + right.group().lower().lstrip(PUNCTUATION)))
+                t = t[: max(0, m.start() - (len(s.text) - len(t)))]
                 carry = right.group()
-                continue
-        if carry and t.startswith(carry):
-            t = t[len(carry):]
-        carry = ""
-        words.update(tokens(t), edge_words(t, known))
-    return [w for w in words if len(w) > 1 and (known is None or w not in known)], cuts, lines, numbers
+        words.update(tokens(t), edge_words(t))
+    return [w for w in words if len(w) > 1], cuts, lines, numbers
 
 
-def scan(chunks: DataFrame, furniture: Furniture, known: set[str] | None) -> DataFrame:
+def scan(chunks: DataFrame, furniture: Furniture) -> DataFrame:
     """One row per chunk with what its text may hold. One pass, no shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -442,44 +484,67 @@ def scan(chunks: DataFrame, furniture: Furniture, known: set[str] | None) -> Dat
             for lo in range(0, len(pdf), 256):
                 part = pdf.iloc[lo:lo + 256]
                 many = [segments(t) for t in part["text"]]
-                for (cid, did, page, _), segs, score in zip(part.itertuples(index=False), many, furniture.scores(many)):
-                    w, c, ln, nu = parse(segs, score, known)
+                for (cid, did, index, page, _), segs, score in zip(part.itertuples(index=False), many, furniture.scores(many)):
+                    w, c, ln, nu = parse(segs, score)
                     if w or c or ln or nu:
-                        rows.append((cid, did, None if pd.isna(page) else int(page), w, [{"left": a, "right": b} for a, b in c], [{"at": a, "skeleton": k, "score": p} for a, k, p in ln], [{"at": a, "value": v, "style": k} for a, v, k in nu]))
-            out = pd.DataFrame(rows, columns=["chunk_id", "doc_id", "page", "words", "cuts", "lines", "numbers"])
-            out = out.astype({"chunk_id": "Int64", "doc_id": "Int64", "page": "Int32"})
+                        whole = lambda v: None if pd.isna(v) else int(v)
+                        rows.append((cid, did, whole(index), whole(page), w, [{"left": a, "right": b, "written": x} for a, b, x in c], [{"at": a, "skeleton": k, "score": p} for a, k, p in ln], [{"at": a, "value": v, "style": k} for a, v, k in nu]))
+            out = pd.DataFrame(rows, columns=["chunk_id", "doc_id", "chunk_index", "page", "words", "cuts", "lines", "numbers"])
+            out = out.astype({"chunk_id": "Int64", "doc_id": "Int64", "chunk_index": "Int32", "page": "Int32"})
             yield out
 
-    return chunks.select("id", "doc_id", "page", "text").where("text <> ''").mapInPandas(run, SCAN)
+    return chunks.select("id", "doc_id", "chunk_index", "page", "text").where("text <> ''").mapInPandas(run, SCAN)
 
 
 def training_docs(chunks: DataFrame) -> dict[int, list[str]]:
-    """Texts of the first TRAIN_DOCS documents, by hash, that have more than two and at most 40 chunks with lines."""
+    """Texts of whole documents that have more than two and at most 40 chunks with lines: the first by hash, at most TRAIN_DOCS
+    documents with at most TRAIN_CHUNKS chunks."""
     c = chunks.select("doc_id", "text").where("text LIKE '%\n%' AND doc_id IS NOT NULL")
-    few = c.groupBy("doc_id").agg(F.count("*").alias("n")).where("n BETWEEN 3 AND 40").orderBy(F.xxhash64("doc_id")).limit(TRAIN_DOCS)
+    few = c.groupBy("doc_id").agg(F.count("*").alias("n")).where("n BETWEEN 3 AND 40").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS).collect()
+    room, ids = TRAIN_CHUNKS, []
+    for r in few:
+        if r.n <= room:
+            room -= r.n
+            ids.append(r.doc_id)
     out: dict[int, list[str]] = defaultdict(list)
-    for r in c.join(F.broadcast(few.select("doc_id")), "doc_id").limit(TRAIN_CHUNKS).collect():
+    for r in c.where(F.col("doc_id").isin(ids)).collect() if ids else []:
         out[r.doc_id].append(r.text)
     return {k: sorted(out[k]) for k in sorted(out)}
 
 
+def gram_index(words: DataFrame, word: str, size: str, replicate: int = 0) -> DataFrame:
+    """words with one row for each q-gram of the prefix of their word: (gram, band) to meet on, and size, the number of q-grams.
+
+    Two words that share MIN_GRAMS of the q-grams of the longer one also share one of the prefix of either, if all prefixes
+    follow the same order: of n q-grams the last MIN_GRAMS * n may be left out. The order puts q-grams with outer padding last, for
+    these are the common ones. band is the number of q-grams; with replicate, a row for every band so far away.
+    """
+    prefix = F.pandas_udf(lambda s: s.map(gram_prefix), "array<string>")
+    number = F.pandas_udf(lambda s: s.map(lambda w: len(grams(w))).astype("int32"), "int")
+    near = F.explode(F.sequence(F.col(size) - replicate, F.col(size) + replicate)) if replicate else F.col(size)
+    return words.withColumn(size, number(word)).select(*words.columns, size, near.alias("band"), prefix(word).alias("_g")).select(*words.columns, size, "band", F.explode("_g").alias("gram"))
+
+
+def gram_prefix(word: str) -> list[str]:
+    g = sorted(grams(word), key=lambda x: (x.startswith("^") + x.endswith("$"), zlib.crc32(x.encode("utf-8", "surrogatepass"))))
+    return g[: len(g) - ceil(MIN_GRAMS * len(g)) + 1]
+
+
 def corrections(unknown: DataFrame, lex: DataFrame, ranker: Boosted) -> DataFrame:
     """(word, replacement, score) of unknown (word, seen) that the ranker takes for misreads.
 
     Candidates come from the inverted index of q-grams of the lexicon; pairs need MIN_GRAMS of shared q-grams.
     """
-    gram_udf = F.pandas_udf(lambda s: s.map(lambda w: sorted(grams(w))), "array<string>")
-    a = unknown.select("word", "seen", gram_udf("word").alias("g")).select("word", "seen", F.size("g").alias("n"), F.explode("g").alias("gram"))
-    b = lex.where(~F.col("word").contains("-")).select(F.col("word").alias("right"), "clean", gram_udf("word").alias("g")).select("right", "clean", F.size("g").alias("m"), F.explode("g").alias("gram"))
-    met = a.join(b, "gram").groupBy("word", "right").agg(F.count("*").alias("k"), F.max("n").alias("n"), F.max("m").alias("m"), F.max("seen").alias("seen"), F.max("clean").alias("clean"))
-    met = met.where((F.col("k") >= MIN_GRAMS * F.greatest("n", "m")) & (F.abs(F.col("n") - F.col("m")) <= 3))
+    a = gram_index(unknown.select("word", "seen"), "word", "n", BAND)
+    b = gram_index(lex.where(~F.col("word").contains("-")).select(F.col("word").alias("right"), "clean"), "right", "m")
+    met = a.join(b, ["gram", "band"]).select("word", "right", "seen", "clean", "n", "m").dropDuplicates(["word", "right"])
+    cut = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(w) + Q - 1), lambda i: F.substring(F.concat(F.lit("^" * (Q - 1)), w, F.lit("$" * (Q - 1))), i, F.lit(Q))))
+    met = met.where(F.size(F.array_intersect(cut(F.col("word")), cut(F.col("right")))) >= MIN_GRAMS * F.greatest("n", "m"))
 
     @F.pandas_udf("double")
     def rank(word: pd.Series, right: pd.Series, seen: pd.Series, clean: pd.Series) -> pd.Series:
-        x = [pair_features(w, r, s, c) for w, r, s, c in zip(word, right, seen, clean)]
-        ok = np.array([f[4] + f[5] == 0 and f[6] > 0 for f in x]) if x else np.zeros(0, bool)  # losses and other letters are no misreads
-        p = ranker.predict(np.array(x)) if x else np.zeros(0)
-        return pd.Series(np.where(ok, p, 0.0))
+        x = [pair_features(*v) for v in zip(word, right, seen, clean)]
+        return pd.Series(ranker.predict(np.array(x)) if x else np.zeros(0))
 
     scored = met.withColumn("score", rank("word", "right", "seen", "clean")).where(F.col("score") >= MISREAD)
     return scored.groupBy("word").agg(F.max(F.struct("score", "clean", "right")).alias("best")).select("word", F.col("best.right").alias("replacement"), F.col("best.score").alias("score"))
@@ -491,40 +556,65 @@ class Noise:
     def __init__(self, chunks: DataFrame, documents: DataFrame):
         self.chunks = chunks
         self.lex = materialise(lexicon(documents), "lexicon")
-        n = self.lex.count()
-        # a bounded lexicon travels with the scan, which then only emits unknown words; a larger one is joined below
-        known = {r.word for r in self.lex.select("word").collect()} if n * 64 <= BROADCAST_BYTES else None
-        sample = [(r.word, r.clean) for r in self.lex.where(~F.col("word").contains("-")).orderBy(F.xxhash64("word")).limit(TRAIN_WORDS).collect()]
+        sample = [(r.word, r.clean) for r in self._sample(~F.col("word").contains("-"))]
         self.ranker = train_ranker(sample)
+        self.joins = self._join_classifier(sample)
         self.furniture = Furniture().fit(training_docs(chunks))
-        self.scan = materialise(scan(chunks, self.furniture, known), "scan")
-        words = self.scan.select("chunk_id", F.explode("words").alias("word"))
+        self.scan = materialise(scan(chunks, self.furniture), "scan")
+        cuts = self.scan.where(F.size("cuts") > 0).select("chunk_id", F.explode("cuts").alias("c")).select("chunk_id", "c.*").dropDuplicates()
+        self.pairs = materialise(self._known_pairs(cuts), "pairs")
+        whole = self.pairs.where((F.col("one") > 0) | (F.col("two") == 0))  # the others are compounds: their halves are words
+        joined = cuts.join(whole.select("left", "right", "one"), ["left", "right"])
+        edged = F.pandas_udf(lambda one, raw: pd.Series([[] if k else [f for _, f in edge_forms(w)] for k, w in zip(one, raw)]), "array<string>")
+        more = joined.select("chunk_id", F.concat("left", "right").alias("word")).unionByName(joined.select("chunk_id", F.explode(edged("one", "written")).alias("word")))
+        halves = cuts.join(whole.select("left", "right"), ["left", "right"], "left_anti").select("chunk_id", F.explode(F.array("left", "right")).alias("word"))
+        words = self.scan.select("chunk_id", F.explode("words").alias("word")).unionByName(more.unionByName(halves).where(F.length("word") > 1).dropDuplicates())
         unknown = words.groupBy("word").agg(F.count("*").alias("seen")).withColumn("bare", _bare("word"))
-        unknown = unknown.join(self.lex.select(F.col("word").alias("bare")), "bare", "left_anti").drop("bare")
+        unknown = materialise(unknown.join(self.lex.select(F.col("word").alias("bare")), "bare", "left_anti").select("word", "seen"), "unknown")
         self.fixes = materialise(corrections(unknown, self.lex, self.ranker), "fixes")
-        self.misreads = words.join(small_side(self.fixes, 128), "word").select("chunk_id", "word", "replacement")
+        self.misreads = words.join(small_side(self.fixes, 128), "word").select("chunk_id", "word", "replacement").dropDuplicates(["chunk_id", "word"])
+
+    def _sample(self, which: Column) -> list:
+        """The first TRAIN_WORDS entries of the lexicon by hash."""
+        return self.lex.where(which).orderBy(F.xxhash64("word"), "word").limit(TRAIN_WORDS).collect()
+
+    def _join_classifier(self, sample: list[tuple[str, int]]) -> Boosted:
+        compounds = [(r.word, r.clean) for r in self._sample(F.col("word").rlike(r"^[^-]+(-[^-]+)+$"))]
+        asked = sorted({w for _, a, b in cut_examples(sample, compounds) for w in (a, b, a + b, f"{a}-{b}")})  # a few for each of TRAIN_WORDS examples
+        if not asked:
+            return Boosted()
+        known = self.lex.join(F.broadcast(self.lex.sparkSession.createDataFrame([(w,) for w in asked], "word string")), "word").collect()
+        return train_joins(sample, compounds, {r.word: r.clean for r in known})
+
+    def _known_pairs(self, cuts: DataFrame) -> DataFrame:
+        """(left, right, one, two, a, b): distinct line pairs with the clean counts of the word, the compound and the halves."""
+        d = cuts.select("left", "right").dropDuplicates()
+        for name, key in (("one", F.concat("left", "right")), ("two", F.concat_ws("-", "left", "right")), ("a", F.col("left")), ("b", F.col("right"))):
+            d = d.withColumn("_k", key).join(self.lex.select(F.col("word").alias("_k"), F.col("clean").alias(name)), "_k", "left").drop("_k").fillna({name: 0})
+        return d
 
     def cuts(self) -> DataFrame:
-        """(chunk_id, left, right): words cut at a line end. A compound that clean text writes with a hyphen, and never as one word,
-        is whole; so are two known words whose joined form is unknown and not a misread of a known word."""
-        c = self.scan.select("chunk_id", F.explode("cuts").alias("c")).select("chunk_id", "c.left", "c.right")
-        pairs = c.select("left", "right").dropDuplicates()
-        know = self.lex.select("word", "clean")
-        look = lambda df, key, name: df.join(know.select(F.col("word").alias("_w"), F.col("clean").alias(name)), key == F.col("_w"), "left").drop("_w")
-        d = look(pairs, F.concat("left", "right"), "one")
-        d = look(d, F.concat_ws("-", "left", "right"), "two")
-        d = look(d, F.col("left"), "a")
-        d = look(d, F.col("right"), "b")
-        d = d.join(self.fixes.select(F.col("word").alias("_w"), F.lit(1).alias("misread")), F.concat("left", "right") == F.col("_w"), "left").drop("_w")
-        zero = F.lit(0)
-        compound = (F.coalesce("two", zero) > F.coalesce("one", zero)) | (F.col("one").isNull() & F.col("misread").isNull() & F.col("a").isNotNull() & F.col("b").isNotNull())
-        return c.join(d.where(~compound).select("left", "right"), ["left", "right"]).select("chunk_id", "left", "right")
+        """(chunk_id, left, right): words cut at a line end, by the line-pair classifier."""
+        misread = self.fixes.select(F.col("word").alias("_w"), F.lit(True).alias("misread"))
+        d = self.pairs.join(misread, F.concat("left", "right") == F.col("_w"), "left").drop("_w").fillna({"misread": False})
+        model = self.joins
+
+        @F.pandas_udf("double")
+        def cut(left: pd.Series, right: pd.Series, one: pd.Series, two: pd.Series, a: pd.Series, b: pd.Series, bad: pd.Series) -> pd.Series:
+            x = np.array([cut_features(*v) for v in zip(left, right, one, two, a, b, bad)], float)
+            return pd.Series(model.predict(x) if len(x) and model.nodes else np.ones(len(x)))
+
+        is_cut = d.where(cut("left", "right", "one", "two", "a", "b", "misread") >= CUT_WORD).select("left", "right")
+        c = self.scan.where(F.size("cuts") > 0).select("chunk_id", F.explode("cuts").alias("c")).select("chunk_id", "c.left", "c.right")
+        return c.join(is_cut, ["left", "right"])
 
     def headers(self) -> DataFrame:
         """(chunk_id, at): header lines. A line the classifier is unsure of needs another chunk of its document with the same one."""
-        h = self.scan.select("chunk_id", "doc_id", F.explode("lines").alias("l")).select("chunk_id", "doc_id", "l.at", "l.skeleton", "l.score")
-        rep = h.groupBy("doc_id", "skeleton").agg(F.count_distinct("chunk_id").alias("chunks"))
-        return h.join(rep, ["doc_id", "skeleton"]).where((F.col("score") >= FURNITURE) | (F.col("chunks") > 1)).select("chunk_id", "at")
+        h = self.scan.where(F.size("lines") > 0).select("chunk_id", "doc_id", F.explode("lines").alias("l")).select("chunk_id", "doc_id", "l.at", "l.skeleton", "l.score")
+        low = h.where(F.col("score") < FURNITURE)  # only these are joined: the many sure lines of a large document stay where they are
+        asked = low.select("doc_id", "skeleton").dropDuplicates()
+        rep = h.join(asked, ["doc_id", "skeleton"], "left_semi").groupBy("doc_id", "skeleton").agg(F.count_distinct("chunk_id").alias("chunks")).where("chunks > 1")
+        return h.where(F.col("score") >= FURNITURE).select("chunk_id", "at").unionByName(low.join(rep, ["doc_id", "skeleton"]).select("chunk_id", "at"))
 
     def page_numbers(self) -> DataFrame:
         """(chunk_id, at): printed numbers that follow the document's own numbering.
@@ -532,17 +622,20 @@ class Noise:
         Printed number minus page is the same throughout a document: the offset with the most support (styled numbers count
         three times) holds; a document whose only support is one bare number has no numbering unless it equals the page.
         """
-        n = self.scan.select("chunk_id", "doc_id", "page", F.explode("numbers").alias("p")).select("chunk_id", "doc_id", "page", "p.at", "p.value", "p.style")
-        near = self.chunks.select(F.col("id").alias("chunk_id"), F.col("doc_id").alias("d"), "chunk_index", F.col("page").alias("own"))
-        hole = n.where("page IS NULL").select("doc_id").dropDuplicates()
-        w = W.partitionBy("d").orderBy("chunk_index")
-        filled = near.join(hole, near.d == hole.doc_id, "left_semi").select("chunk_id", F.coalesce(F.last("own", True).over(w.rowsBetween(-3, -1)), F.first("own", True).over(w.rowsBetween(1, 3))).alias("guess"))
+        n = self.scan.where(F.size("numbers") > 0).select("chunk_id", "doc_id", "chunk_index", "page", F.explode("numbers").alias("p")).select("chunk_id", "doc_id", "chunk_index", "page", "p.at", "p.value", "p.style")
+        # a null page is guessed from the nearest of three chunks on either side, looked up by (doc_id, chunk_index)
+        hole = n.where("page IS NULL AND chunk_index IS NOT NULL").select("chunk_id", "doc_id", "chunk_index").dropDuplicates()
+        steps = F.explode(F.array(*[F.lit(k) for k in (-3, -2, -1, 1, 2, 3)]))
+        asked = hole.select("chunk_id", "doc_id", "chunk_index", steps.alias("step")).withColumn("chunk_index", F.col("chunk_index") + F.col("step"))
+        near = self.chunks.where("page IS NOT NULL").select("doc_id", "chunk_index", F.col("page").alias("own"))
+        order = F.struct((F.col("step") > 0).alias("after"), F.abs("step").alias("far"), F.col("own").alias("own"))
+        filled = asked.join(near, ["doc_id", "chunk_index"]).groupBy("chunk_id").agg(F.min(order).alias("b")).select("chunk_id", F.col("b.own").alias("guess"))
         n = n.join(filled, "chunk_id", "left")
         sure = n.where("page IS NOT NULL").withColumn("offset", F.col("value") - F.col("page"))
         weight = F.sum(F.when(F.col("style") == "styled", 3).when(F.col("style") == "roman", 2).otherwise(1))
-        votes = sure.groupBy("doc_id", "offset").agg(weight.alias("votes"), F.count_distinct("chunk_id").alias("n"))
+        votes = sure.groupBy("doc_id", "offset").agg(weight.alias("votes"))
         best = votes.groupBy("doc_id").agg(F.max(F.struct("votes", (-F.abs(F.col("offset"))).alias("close"), "offset")).alias("b")).select("doc_id", F.col("b.offset").alias("offset"), F.col("b.votes").alias("votes"))
-        judged = n.join(best, "doc_id", "left")
+        judged = n.join(small_side(materialise(best, "offsets"), 64), "doc_id", "left")  # one row a document: the optimiser may split n's hot document
         page = F.coalesce("page", "guess")
         same = F.when(F.col("page").isNotNull(), F.col("value") - F.col("page") == F.col("offset")).otherwise(F.coalesce(F.abs(F.col("value") - page - F.coalesce("offset", F.lit(0))) <= 2, F.col("style") != "bare"))
         trusted = (F.col("style") != "bare") | (F.coalesce("votes", F.lit(0)) >= 2) | (F.abs(F.coalesce("offset", F.lit(99))) <= 20)
@@ -555,15 +648,20 @@ class Noise:
 
 
 def rebuild(text: str, furniture_at: set[int], joins: set[tuple[str, str]], fixes: dict[str, str]) -> str:
-    """Continuous paragraphs: furniture left out, cut words joined, lines of a paragraph laid end to end, misreads replaced."""
+    """Continuous paragraphs: furniture left out, cut words joined, lines of a paragraph laid end to end, misreads replaced.
+
+    A line that left room for the next one's first word ends its paragraph, as headings and statements of a line each do, unless the
+    next line goes on in small letters.
+    """
     out: list[str] = []
+    body = [s for s in segments(text) if s.start not in furniture_at]
+    width = [len(s.text) for s in body]
     last = 0
-    for s in segments(text):
+    for i, s in enumerate(body):
         gap = text[last:s.start]
         last = s.start + len(s.text)
-        if s.start in furniture_at:
-            continue
         t = s.text
+        room = i > 0 and body[i - 1].line != s.line and width[i - 1] + 1 + len(t.split()[0]) <= max(width[max(0, i - 3):i + 2])
         if out and gap.count("\n") > 1 and not gap.strip():
             out.append("\n\n" + t)
         elif out:
@@ -571,7 +669,7 @@ def rebuild(text: str, furniture_at: set[int], joins: set[tuple[str, str]], fixe
             if m and r:
                 key = m.group(1).lower().strip(PUNCTUATION), r.group().lower().strip(PUNCTUATION)
                 out[-1] = out[-1][: m.end(1)] + t if key in joins else out[-1].rstrip() + t
-            elif _ITEM.match(t):
+            elif _ITEM.match(t) or room and not t[0].islower():
                 out.append("\n" + t)
             else:
                 out[-1] += " " + t

@@ -363,7 +363,7 @@ def test_edge_signs_may_be_letters():
     forms = lambda x: [f for _, f in scan_noise.edge_forms(x)]
     assert forms("baak!,") == ["baak!"] and forms('"+otal') == ["+otal"] and forms("k!.") == ["k!"]
     assert forms("(a)") == forms("word.") == forms("word") == forms("|") == [] and set(forms("+es+")) == {"+es", "es+", "+es+"}
-    assert scan_noise.edge_words("jaldi! mand! (ertificate)", {"jaldi"}) == {"mand!", "(ertificate"}
+    assert scan_noise.edge_words("jaldi! mand! (ertificate) word") == {"jaldi!", "mand!", "(ertificate"}
     fixes = {"baak!": "baaki", "+otal": "total", "w0rk": "work"}
     assert scan_noise.rebuild("BAAK!, +otal w0rk! (jaldi!)", set(), set(), fixes) == "BAAKI, total work! (jaldi!)"
 
@@ -379,6 +379,31 @@ def test_words_misread_at_an_edge_are_found(spark):
     assert text[1] == "council baaki hai farmers total receipt" and text[3] == "the certificate and zaroori council"
 
 
+def test_line_pairs_that_cut_words(spark):
+    vocab = "baaki total certificate pahunchi zaroori mandi council farmers receipt committee approved claims transfer register storage residence quintal december".split()
+    compounds = "self-help well-known part-time long-term follow-up".split()
+    docs = spark.createDataFrame([(i, " ".join(vocab + compounds) + " self help selfhelpers") for i in range(30)], "doc_id long, text string")
+    rows = [(1, 1, 0, 1, None, "of the self-\nhelp groups"), (2, 1, 1, 2, None, "all far-\nmers came"), (3, 1, 2, 3, None, "the com-\nm!ttee met"), (4, 1, 3, 4, None, "a long-\nterm\nview")]
+    noise = scan_noise.Noise(spark.createDataFrame(rows, CHUNK), docs)
+    assert {(r.chunk_id, r.left, r.right) for r in noise.cuts().collect()} == {(2, "far", "mers"), (3, "com", "m!ttee")}
+    assert {(r.chunk_id, r.word, r.replacement) for r in noise.misreads.collect()} == {(3, "comm!ttee", "committee")}
+    text = {r.chunk_id: r.text for r in scan_noise.repair(noise).collect()}
+    assert text == {2: "all farmers came", 3: "the committee met"}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("abcrn1"), min_size=2, max_size=14), st.text(st.sampled_from("abcrn1"), min_size=2, max_size=14))
+def test_gram_prefixes_meet(x, y):
+    a, b = scan_noise.grams(x), scan_noise.grams(y)
+    if len(a & b) >= scan_noise.MIN_GRAMS * max(len(a), len(b)):
+        assert set(scan_noise.gram_prefix(x)) & set(scan_noise.gram_prefix(y))
+
+
+def test_repaired_lines_keep_headings():
+    text = "Sale of seed\nThe committee met on the second day and\nheard the farmers of the village, who\nasked for seed.\nNext the council met and heard the rest"
+    assert scan_noise.rebuild(text, set(), set(), {}) == "Sale of seed\nThe committee met on the second day and heard the farmers of the village, who asked for seed.\nNext the council met and heard the rest"
+
+
 def test_boosting_separates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 3))
