@@ -136,7 +136,8 @@ def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_units(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.sentences(table(spark, d, "documents"))
+    docs = table(spark, d, "documents")
+    return sentences.sentences(docs, sentences.fit_spaceless(docs, table(spark, d, "lang_samples").where(label("lang").isin("th", "ja", "zh"))))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
