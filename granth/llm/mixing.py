@@ -3,7 +3,9 @@
 The target shares hang in a tree domain > language > source (the domain is the source's name up to its first '-', the
 language the stored label of the document). A budget goes down the tree in proportion to the weights; a child that
 cannot use its part, as its texts times max_repeats are too few, leaves the rest to its siblings before any of it goes
-further up. Each leaf then takes whole seeded epochs of its texts and a token prefix of the next epoch's order.
+further up. Each leaf then takes whole seeded epochs of its texts and a token prefix of the next epoch's order. What the leaves
+of a source lack or exceed together, as no text is split, is made up by some of the texts next to their cuts (EDGE on either
+side of each), so that a source misses its budget by about half a short text, not by half a text a leaf.
 
 Leaf sums (sources x languages) are all that reaches the driver. The prefix is a two-level running sum over hash buckets,
 so no window holds a leaf. Null or unlisted sources take no part; null labels form the language 'und'. Texts of 0 tokens
@@ -21,6 +23,8 @@ from pyspark.sql import Window as W
 from granth.runtime import materialise
 
 ROWS_PER_BUCKET = 20_000
+#: Texts on either side of a leaf's cut that may be added or left out.
+EDGE = 8
 
 
 class Node:
@@ -113,7 +117,7 @@ def mix(documents: DataFrame, targets: DataFrame, language, total_tokens: int |
         epochs = min(int(b // r.n), want[r.source][1])
         part = b - epochs * r.n if epochs < want[r.source][1] else 0.0
         plan.append((r.source, r.language, epochs, float(part), max(1, -(-r.rows // ROWS_PER_BUCKET))))
-    plan_df = F.broadcast(spark.createDataFrame(plan, "source string, language string, epochs int, part double, buckets long"))
+    plan_df = F.broadcast(spark.createDataFrame(plan, "source string, language string, epochs int, part double, buckets long"))  # a row a leaf
     keyed = docs.join(plan_df, ["source", "language"]).withColumn("h", F.xxhash64("doc_id", "epochs", F.lit(seed)))
     # buckets split the hash range in order, so that bucket order is epoch order
     keyed = keyed.withColumn("bucket", F.floor((F.col("h").cast("double") / F.lit(2.0**64) + 0.5) * F.col("buckets")).cast("long"))
@@ -122,8 +126,38 @@ def mix(documents: DataFrame, targets: DataFrame, language, total_tokens: int |
     run = F.sum("n_tokens").over(W.partitionBy("source", "language", "bucket").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, 0))
     placed = keyed.join(before.select("source", "language", "bucket", "before"), ["source", "language", "bucket"]).withColumn("start", F.col("before") + run - F.col("n_tokens"))
     # a text belongs to the prefix if its middle lies within it: the leaf's error is at most half a text
-    copies = F.col("epochs") + F.when(F.col("start") + F.col("n_tokens") / 2 <= F.col("part"), 1).otherwise(0)
-    return placed.withColumn("copies", copies.cast("int")).where("copies > 0").select("source", "language", "doc_id", "n_tokens", "copies", (F.col("n_tokens") * F.col("copies")).alias("tokens_used"))
+    inside = F.col("start") + F.col("n_tokens") / 2 <= F.col("part")
+    placed = materialise(placed.withColumn("inside", inside).withColumn("copies", F.col("epochs") + inside.cast("int")).select("source", "language", "doc_id", "n_tokens", "start", "inside", "epochs", "copies"), "placed")
+    change = spark.createDataFrame(_adjust(placed, budget, want), "source string, language string, doc_id long, start long, delta int")
+    same = [placed[k].eqNullSafe(change[k]) for k in ("source", "language", "doc_id", "start")]
+    final = placed.join(F.broadcast(change), same[0] & same[1] & same[2] & same[3], "left").select(placed["source"], placed["language"], placed["doc_id"], "n_tokens", (F.col("copies") + F.coalesce("delta", F.lit(0))).cast("int").alias("copies"))  # at most 2 x EDGE rows a leaf
+    return final.where("copies > 0").select("source", "language", "doc_id", "n_tokens", "copies", (F.col("n_tokens") * F.col("copies")).alias("tokens_used"))
+
+
+def _adjust(placed: DataFrame, budget: dict[tuple[str, str], float], want: dict[str, tuple[float, int]]) -> list[tuple]:
+    """(source, language, doc_id, start, +1 or -1): texts next to the cuts whose change brings each source closest to its budget."""
+    took = {r.source: r.n for r in placed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("n")).collect()}
+    near = W.partitionBy("source", "language", "inside")
+    k = F.row_number().over(near.orderBy(F.when(F.col("inside"), -F.col("start")).otherwise(F.col("start")), "doc_id"))
+    lack: dict[str, float] = defaultdict(float)
+    for (s, _), b in budget.items():
+        lack[s] += b
+    options: dict[str, list[tuple]] = defaultdict(list)
+    for r in placed.withColumn("k", k).where(F.col("k") <= EDGE).collect():
+        sign = -1 if r.inside else 1
+        if 0 <= r.copies + sign <= want[r.source][1]:
+            options[r.source].append((sign * r.n_tokens, r.language, -1 if r.doc_id is None else r.doc_id, r.doc_id, r.start, sign))
+    out = []
+    for s in sorted(options):
+        left, free = lack[s] - took.get(s, 0), sorted(options[s], key=lambda o: o[:3])
+        while free:
+            o = min(free, key=lambda o: abs(left - o[0]))
+            if abs(left - o[0]) >= abs(left):
+                break
+            free.remove(o)
+            left -= o[0]
+            out.append((s, o[1], o[3], o[4], o[5]))
+    return out
 
 
 def share_report(mixture: DataFrame, targets: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from granth.functions.labels import label
 from granth.llm import encoding, language, linked_splits, mixing, near_duplicates, oversize, packing, scan_noise, sentences, sizes
-from granth.runtime import materialise, meta_int, table
+from granth.runtime import materialise, meta_int, small_side, table
 
 
 def _noise(spark: SparkSession, d: str) -> scan_noise.Noise:
@@ -75,7 +75,9 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 def _mixture(spark: SparkSession, d: str, total: str | None = None) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", "language", "text")
-    return mixing.mix(materialise(sizes.with_tokens(docs.where("source IS NOT NULL").join(F.broadcast(table(spark, d, "mix_targets").select("source").dropDuplicates()), "source", "left_semi")).drop("text"), "sizes"), table(spark, d, "mix_targets"), label("language"), total)
+    listed = small_side(table(spark, d, "mix_targets").select("source").dropDuplicates(), 256)
+    sized = sizes.with_tokens(docs.where("source IS NOT NULL").join(listed, "source", "left_semi")).drop("text")
+    return mixing.mix(materialise(sized, "sizes"), table(spark, d, "mix_targets"), label("language"), total)
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:

@@ -301,6 +301,19 @@ def test_whole_mixture_uses_the_pool():
     assert mixing.size(leaves[:2], many, "whole") == mixing.size(leaves[:2], many, None) == 24000
 
 
+def test_sources_in_many_languages_reach_their_budget(spark):
+    rng = random.Random(5)
+    langs = ["hi", "en", "mr", "ta", "ur", None]
+    docs = [(i, rng.choice(["a-x", "a-y", "b-x"]), rng.randint(20, 400), rng.choice(langs)) for i in range(500)] + [(None, "b-x", 50, "hi"), (3, "a-x", 77, "hi")]
+    frame = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long, language string").withColumn("delta", F.lit("x"))
+    t = spark.createDataFrame([("a-x", 0.5, 2), ("a-y", 0.2, 1), ("b-x", 0.3, 3)], "source string, target_share double, max_repeats int")
+    total = 40_000
+    got = {r.source: r for r in mixing.share_report(mixing.mix(frame, t, F.col("language"), total), t).collect()}
+    # five or six leaves a source, each cut at whole texts: the error of the source stays below half of its short texts
+    assert all(abs(got[s].tokens - share * total) <= 60 for s, share in (("a-x", 0.5), ("a-y", 0.2), ("b-x", 0.3)))
+    assert all(got[s].most_copies <= n for s, n in (("a-x", 2), ("a-y", 1), ("b-x", 3)))
+
+
 def test_registered_mixture_is_whole(spark, tmp_path):
     docs = [(i, "a-x", "hi", "paani bachao " * 5) for i in range(200)] + [(500, "b-x", "hi", "short"), (501, "c-x", "hi", "never used")]
     spark.createDataFrame(docs, "doc_id long, source string, language string, text string").write.parquet(f"{tmp_path}/documents.parquet")
