@@ -25,9 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests, local mode)."""
+    """Folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset and the session runs in one
+    process (tests, local mode). A cluster without the setting is an error: its executors share no folder of the driver's."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = os.path.join(tempfile.gettempdir(), f"granth-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", at) if _settable(spark) else None
     return at
@@ -48,6 +51,51 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted by clear()."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def _files(spark: SparkSession, path: str):
+    """(file system, path) of a path on whatever storage its scheme names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """Content of a small UTF-8 file, or None if there is none."""
+    fs, at = _files(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return bytes(b & 0xFF for b in stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replace a small file: written beside it and renamed, so that readers see the old content or the new one."""
+    fs, at = _files(spark, path)
+    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.new")
+    stream = fs.create(new, True)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+    context = spark.sparkContext._jvm.org.apache.hadoop.fs
+    context.FileContext.getFileContext(at.toUri() if at.toUri().getScheme() else fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(new, at, _overwrite(spark))
+
+
+def _overwrite(spark: SparkSession):
+    rename = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename
+    out = spark.sparkContext._gateway.new_array(rename, 1)
+    out[0] = rename.OVERWRITE
+    return out
+
+
 def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Broadcast hint only if a count proves that the side stays under limit; df should be materialised."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
