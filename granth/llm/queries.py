@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from granth.functions.labels import label
 from granth.llm import encoding, language, linked_splits, mixing, near_duplicates, oversize, packing, scan_noise, sentences, sizes
-from granth.runtime import materialise, meta_int, small_side, table
+from granth.runtime import materialise, meta_int, scratch, small_side, table
 
 
 def _noise(spark: SparkSession, d: str) -> scan_noise.Noise:
@@ -56,13 +56,12 @@ def p4_incremental(spark: SparkSession, d: str) -> DataFrame:
     span = qa.agg(F.min("created_at").cast("double"), F.max("created_at").cast("double")).first()
     middle = ((span[0] or 0) + (span[1] or 0)) / 2
     late = F.coalesce(F.col("created_at").cast("double"), F.lit(middle + 1)) > middle
-    state = None
+    kept = linked_splits.ComponentTable(spark, scratch(spark, "components"))
     for batch in (qa.where(~late), qa.where(late)):
         named = materialise(linked_splits.question_docs(batch, chunks), "named")
         first = named.groupBy("qa_id").agg(F.min("doc").alias("doc"))
-        links = linked_splits.question_links(named).unionByName(files)
-        state = materialise(linked_splits.update(state, first, links), "state")
-    return state
+        kept.update(first, linked_splits.question_links(named).unionByName(files))
+    return kept.read()
 
 
 def p7_packing(spark: SparkSession, d: str) -> DataFrame:

@@ -119,18 +119,38 @@ def test_groups_against_union_find(spark):
     assert linked_splits.question_groups(*[f.limit(0) for f in frames]).count() == 0
 
 
-def test_incremental_keeps_and_quarantines(spark):
+def test_incremental_keeps_and_quarantines(spark, tmp_path):
     named = lambda rows: spark.createDataFrame(rows, "qa_id long, doc long")
     links = lambda rows: spark.createDataFrame(rows, "a long, b long")
-    first = linked_splits.update(None, named([(i, i) for i in range(200)]), links([]))
-    old = {r.doc: r.split for r in first.collect()}
-    a = next(d for d in old if old[d] == "train")
-    b = next(d for d in old if old[d] == "test")
-    c = next(d for d in old if old[d] == "train" and d != a)
-    got = {r.doc: r for r in linked_splits.update(first, named([(900, a), (901, 500)]), links([(a, b), (c, 500)])).collect()}
-    assert got[a].status == got[b].status == "quarantined" and got[a].split is None
-    assert got[500].status == "kept" and got[500].split == "train"
-    assert all(got[d].split == old[d] for d in old if d not in (a, b))
+    kept = linked_splits.ComponentTable(spark, str(tmp_path / "components"))
+    assert kept.read().count() == 0
+    kept.update(named([(i, i) for i in range(200)]), links([]))
+    old = {r.doc: r for r in kept.read().collect()}
+    assert {r.status for r in old.values()} == {"new"} and abs(sum(r.split == "train" for r in old.values()) - 160) <= 2
+    a = next(d for d in old if old[d].split == "train")
+    b = next(d for d in old if old[d].split == "test")
+    c = next(d for d in old if old[d].split == "train" and d != a)
+    before = kept.manifest()["at"]
+    kept.update(named([(900, a), (901, 500)]), links([(a, b), (c, 500), (600, 601)]))
+    got = {r.doc: r for r in kept.read().collect()}
+    assert got[a].status == got[b].status == "quarantined" and got[a].split is None and got[a].component == min(a, b)
+    assert got[500].status == "kept" and got[500].split == "train" and got[500].component == c and got[601].component == 600
+    assert all(got[d].split == old[d].split for d in old if d not in (a, b)) and got[a].n == 2 and len(got) == 203
+    after = kept.manifest()["at"]
+    assert sum(before[k] == after[k] for k in before) >= len(before) - 6  # other buckets are where they were
+    kept.update(named([]), links([(b, 600), (c, 500)]))
+    got = {r.doc: r for r in kept.read().collect()}
+    assert got[600].status == got[601].status == "quarantined" and got[601].component == min(a, b) and got[c].split == "train"
+    version = kept.manifest()["version"]
+    kept.update(named([]), links([]))
+    assert kept.manifest()["version"] == version
+
+
+def test_rounds_that_run_out_raise(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long")
+    assert {r.root for r in linked_splits.components(path).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        linked_splits.components(path, max_rounds=0)
 
 
 # -- 5 ------------------------------------------------------------------------------------------------------------------
