@@ -4,7 +4,8 @@ Every text gets a fingerprint of one-bit minhashes over its runs of three words,
 decoded with the perfect (23,12) Golay code together with its 23 one-bit neighbours; the 1 or 6 codeword indices found are its
 keys, so that two segments with at most two different bits always share one (and most with three or four do). By the pigeonhole
 principle, texts whose fingerprints differ in few bits have such a segment. Each segment's keys are joined with one anchor
-minhash, which keeps buckets small: two texts meet if, in any of SEGMENTS segments, the anchors agree and the codes touch.
+minhash and hashed to 64 bits, which keeps buckets small in collections of any size: two texts meet if, in any of SEGMENTS
+segments, the anchors agree and the codes touch.
 Pairs that meet are screened by the distance of their fingerprints inside the join, made distinct, and verified exactly.
 
 Equal texts collapse to one representative before anything is paired, so a hot group of copies costs one row. Nulls and texts
@@ -33,6 +34,8 @@ SEGMENTS = 12
 MAX_BITS = 40
 MAX_BITS_ALL = 72
 SEED = 29
+#: Copies of one text whose pairs are listed by one task.
+GROUP_SHARE = 1000
 
 #: Generator polynomial of the binary Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 (fixed value).
 GENERATOR = 0b101011100011
@@ -131,8 +134,8 @@ class Sketcher:
             codes = self.golay.keys(word)
             anchor = mins[nb + s].astype(np.uint64)[:, None] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(s)
             k = (anchor + codes.astype(np.int64).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            k = (k ^ k >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)
-            out.append((k.astype(np.uint32).astype(np.int32), codes >= 0))
+            k = (k ^ k >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+            out.append(((k ^ k >> np.uint64(32)).astype(np.int64), codes >= 0))
         keys = [np.concatenate([k[t][ok[t]] for k, ok in out]) for t in range(len(sets))]
         return [f.astype(np.int64) for f in prints], keys
 
@@ -155,7 +158,7 @@ def sketches(items: DataFrame, min_words: int = MIN_WORDS, width: int = WIDTH, s
                     f, keys = maker.sketch(words)
                     yield pd.DataFrame({"id": ids, "digest": digests, "f1": f[0], "f2": f[1], "f3": f[2], "f4": f[3], "keys": keys})
 
-    return items.select("id", "text").where((F.length("text") >= 2 * min_words - 1) & F.col("id").isNotNull()).mapInPandas(run, "id long, digest string, f1 long, f2 long, f3 long, f4 long, keys array<int>")
+    return items.select("id", "text").where((F.length("text") >= 2 * min_words - 1) & F.col("id").isNotNull()).mapInPandas(run, "id long, digest string, f1 long, f2 long, f3 long, f4 long, keys array<long>")
 
 
 def run_sets(items: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -195,9 +198,12 @@ def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """(chunk_a, chunk_b) of all texts: pairs of representatives carried to their copies, and pairs of copies."""
     m = members.select("id", "rep")
     across = pairs.join(m.select(F.col("rep").alias("a"), F.col("id").alias("ia")), "a").join(m.select(F.col("rep").alias("b"), F.col("id").alias("ib")), "b").select("ia", "ib")
-    twins = m.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep")
-    some = m.join(twins, "rep", "left_semi")
-    within = some.select("rep", F.col("id").alias("ia")).join(some.select("rep", F.col("id").alias("ib")), "rep").where("ia < ib").select("ia", "ib")
+    # a large group is dealt to several tasks: its texts by hash on one side, all of them in every share on the other
+    twins = m.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep", F.ceil(F.col("n") / F.lit(GROUP_SHARE)).cast("int").alias("shares"))
+    some = m.join(twins, "rep")
+    left = some.select("rep", F.col("id").alias("ia"), F.pmod(F.xxhash64("id"), "shares").cast("int").alias("share"))
+    right = some.select("rep", F.col("id").alias("ib"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    within = left.join(right, ["rep", "share"]).where("ia < ib").select("ia", "ib")
     return across.unionByName(within).select(F.least("ia", "ib").alias("chunk_a"), F.greatest("ia", "ib").alias("chunk_b"))
 
 

@@ -67,16 +67,14 @@ def _similarity(words: list[str], at: int, block: int) -> float:
 def _depths(words: list[str], gaps: list[int], block: int) -> list[float]:
     """Valley depth of each gap: how far similarity climbs to the nearest peak on either side."""
     s = [_similarity(words, g, block) for g in gaps]
-    out = []
-    for k, v in enumerate(s):
-        i = k
-        while i > 0 and s[i - 1] >= s[i]:
-            i -= 1
-        j = k
-        while j + 1 < len(s) and s[j + 1] >= s[j]:
-            j += 1
-        out.append((s[i] - v) + (s[j] - v))
-    return out
+    left, right = list(s), list(s)  # similarity at the peak that is reached by climbing from each gap
+    for k in range(1, len(s)):
+        if s[k - 1] >= s[k]:
+            left[k] = left[k - 1]
+    for k in range(len(s) - 2, -1, -1):
+        if s[k + 1] >= s[k]:
+            right[k] = right[k + 1]
+    return [a - v + b - v for a, b, v in zip(left, right, s)]
 
 
 def cut_points(text: str, limit: int, overlap: int, block: int = BLOCK) -> list[tuple[int, int, str]]:
@@ -125,10 +123,11 @@ def split_oversized(chunks: DataFrame, limit: int, overlap: int) -> DataFrame:
             for cid, did, page, text in pdf.itertuples(index=False):
                 spans = [m.span() for m in _WORD.finditer(text)]
                 cuts = cut_points(text, limit, overlap)
-                last = 0
+                last = feeds = seen = 0
                 for k, (a, b, kind) in enumerate(cuts):
                     at = spans[a][0]
-                    here = None if pd.isna(page) else int(page) + text.count("\f", 0, at)
+                    feeds, seen = feeds + text.count("\f", seen, at), at
+                    here = None if pd.isna(page) else int(page) + feeds
                     rows.append((cid, did, k, len(cuts), a, b, max(0, last - a), here, kind, text[at:spans[b - 1][1]]))
                     last = b
             out = pd.DataFrame(rows, columns=["chunk_id", "doc_id", "piece_no", "n_pieces", "start_word", "end_word", "overlap_words", "page", "cut", "text"])

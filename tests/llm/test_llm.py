@@ -39,6 +39,24 @@ def test_early_boundary_before_a_hard_cut():
             assert not [g for g in kinds if max(before, a + 10) < g <= b]
 
 
+def test_depths_climb_plateaus_in_linear_time():
+    import time
+
+    def climb(s, k, step):
+        while 0 <= k + step < len(s) and s[k + step] >= s[k]:
+            k += step
+        return s[k]
+
+    rng = random.Random(3)
+    words = [rng.choice(["aa", "bb", "cc"]) for _ in range(300)]
+    gaps = sorted(rng.sample(range(1, 300), 90))
+    s = [oversize._similarity(words, g, 5) for g in gaps]
+    assert oversize._depths(words, gaps, 5) == pytest.approx([climb(s, k, -1) + climb(s, k, 1) - 2 * v for k, v in enumerate(s)])
+    text, began = "a b c. " * 30_000, time.time()
+    cuts = oversize.cut_points(text, 300, 50)
+    assert cuts[-1][1] == 90_000 and time.time() - began < 30
+
+
 def test_oversized_pages_and_nulls(spark):
     rows = [(1, 1, 0, 4, None, "w " * 6 + "\f" + "v " * 8), (2, 1, 1, None, None, "x " * 11), (3, 1, 2, 1, None, None), (4, None, 0, 1, None, ""), (5, 1, 3, 1, None, "y " * 10), (None, 1, 4, 1, None, "short")]
     df = spark.createDataFrame(rows, CHUNK).withColumn("piece_no", F.lit(7))
@@ -82,6 +100,11 @@ def test_near_duplicates_against_brute_force(spark):
     assert got <= want and len(got) >= 0.98 * len(want)
     by = {r.chunk_id: r for r in near_duplicates.groups(pairs, members).collect()}
     assert set(by) == set(ok) and by[900].class_id == by[901].class_id == by[0].class_id
+    near_duplicates.GROUP_SHARE, whole = 1, near_duplicates.GROUP_SHARE  # a group dealt to several tasks gives the same pairs
+    try:
+        assert {(r.chunk_a, r.chunk_b) for r in near_duplicates.expand(pairs, members).collect()} == got
+    finally:
+        near_duplicates.GROUP_SHARE = whole
     p, m = near_duplicates.similar(items.limit(0))
     assert near_duplicates.expand(p, m).count() == 0
 
