@@ -51,6 +51,8 @@ Q = 3
 TRAIN_DOCS = 400
 TRAIN_CHUNKS = 3000
 TRAIN_WORDS = 1500
+#: So many of the lexicon's most frequent words go with the scan, which need not pass them on; the join drops all known words anyway.
+COMMON_WORDS = 8192
 #: Candidates must share this part of the q-grams of the longer word, whose number may differ by this much.
 MIN_GRAMS = 0.2
 BAND = 3
@@ -89,11 +91,11 @@ def edge_forms(raw: str) -> list[tuple[str, str]]:
     return [(word, raw[start - i:end + j]) for _, i, j in cut]
 
 
-def edge_words(text: str) -> set[str]:
-    """Forms of the words with the outer signs that may be misread letters; those whose word is known are left out later."""
+def edge_words(text: str, common: frozenset[str] = frozenset()) -> set[str]:
+    """Forms of the words with the outer signs that may be misread letters; those whose word is known are left out here or later."""
     if not any(c in text for c in EDGE_SIGNS):
         return set()
-    return {f for x in _SPLIT.split(text.lower()) for _, f in edge_forms(x)}
+    return {f for x in _SPLIT.split(text.lower()) for w, f in edge_forms(x) if w not in common}
 
 
 def roman(s: str) -> int | None:
@@ -439,14 +441,14 @@ def lexicon(documents: DataFrame) -> DataFrame:
 SCAN = "chunk_id long, doc_id long, chunk_index int, page int, words array<string>, cuts array<struct<left:string,right:string,written:string>>, lines array<struct<at:int,skeleton:string,score:double>>, numbers array<struct<at:int,value:int,style:string>>"
 
 
-def parse(segs: list[Segment], score: np.ndarray) -> tuple[list[str], list[tuple[str, str, str]], list[tuple[int, str, float]], list[tuple[int, int, str]]]:
-    """(words, line pairs that may cut a word, possible header lines, possible page numbers) of one text.
+def parse(segs: list[Segment], score: np.ndarray, common: frozenset[str] = frozenset()) -> tuple[list[str], list[tuple[str, str, str]], list[tuple[int, str, float]], list[tuple[int, int, str]]]:
+    """(words but for common ones, line pairs that may cut a word, possible header lines, possible page numbers) of one text.
 
     A cut is (left, right, written): what stands before the hyphen, what starts the next line, and both as written but for the
     signs at the cut. Its halves are no words of the text; the line pair's classifier decides what they are.
     """
     if len(segs) < 2:
-        return sorted({w for s in segs for w in (*tokens(s.text), *edge_words(s.text))}), [], [], []
+        return sorted({w for s in segs for w in (*tokens(s.text), *edge_words(s.text, common))} - common), [], [], []
     lines, numbers, body, cuts = [], [], [], []
     for s, p in zip(segs, score):
         if s.page is not None:
@@ -471,11 +473,11 @@ def parse(segs: list[Segment], score: np.ndarray) -> tuple[list[str], list[tuple
                 cuts.append((left, r, m.group(1).lower().rstrip(PUNCTUATION) + right.group().lower().lstrip(PUNCTUATION)))
                 t = t[: max(0, m.start() - (len(s.text) - len(t)))]
                 carry = right.group()
-        words.update(tokens(t), edge_words(t))
-    return [w for w in words if len(w) > 1], cuts, lines, numbers
+        words.update(tokens(t), edge_words(t, common))
+    return [w for w in words - common if len(w) > 1], cuts, lines, numbers
 
 
-def scan(chunks: DataFrame, furniture: Furniture) -> DataFrame:
+def scan(chunks: DataFrame, furniture: Furniture, common: frozenset[str] = frozenset()) -> DataFrame:
     """One row per chunk with what its text may hold. One pass, no shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -485,7 +487,7 @@ def scan(chunks: DataFrame, furniture: Furniture) -> DataFrame:
                 part = pdf.iloc[lo:lo + 256]
                 many = [segments(t) for t in part["text"]]
                 for (cid, did, index, page, _), segs, score in zip(part.itertuples(index=False), many, furniture.scores(many)):
-                    w, c, ln, nu = parse(segs, score)
+                    w, c, ln, nu = parse(segs, score, common)
                     if w or c or ln or nu:
                         whole = lambda v: None if pd.isna(v) else int(v)
                         rows.append((cid, did, whole(index), whole(page), w, [{"left": a, "right": b, "written": x} for a, b, x in c], [{"at": a, "skeleton": k, "score": p} for a, k, p in ln], [{"at": a, "value": v, "style": k} for a, v, k in nu]))
@@ -560,7 +562,8 @@ class Noise:
         self.ranker = train_ranker(sample)
         self.joins = self._join_classifier(sample)
         self.furniture = Furniture().fit(training_docs(chunks))
-        self.scan = materialise(scan(chunks, self.furniture), "scan")
+        common = frozenset(r.word for r in self.lex.orderBy(F.desc("clean"), "word").limit(COMMON_WORDS).collect())
+        self.scan = materialise(scan(chunks, self.furniture, common), "scan")
         cuts = self.scan.where(F.size("cuts") > 0).select("chunk_id", F.explode("cuts").alias("c")).select("chunk_id", "c.*").dropDuplicates()
         self.pairs = materialise(self._known_pairs(cuts), "pairs")
         whole = self.pairs.where((F.col("one") > 0) | (F.col("two") == 0))  # the others are compounds: their halves are words

@@ -489,6 +489,19 @@ def test_line_pairs_that_cut_words(spark):
     assert text == {2: "all farmers came", 3: "the committee met"}
 
 
+def test_common_words_change_no_result(spark, monkeypatch):
+    vocab = "baaki total certificate pahunchi zaroori mandi council farmers receipt committee approved claims".split()
+    docs = spark.createDataFrame([(i, " ".join(vocab) + " self-help self help") for i in range(9)], "doc_id long, text string")
+    rows = [(1, 1, 0, 1, None, "total council! baak! self-\nhelp c0uncil"), (2, 1, 1, 2, None, "(receipt far-\nmers cla!ms\nself-\nhe1p")]
+    chunks = spark.createDataFrame(rows, CHUNK)
+    got = []
+    for n in (0, 5, 8192):
+        monkeypatch.setattr(scan_noise, "COMMON_WORDS", n)
+        noise = scan_noise.Noise(chunks, docs)
+        got.append(({tuple(r) for r in noise.found().collect()}, {tuple(r) for r in noise.misreads.collect()}))
+    assert got[0] == got[1] == got[2] and (2, "claims") in {(i, r) for i, _, r in got[0][1]}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.sampled_from("abcrn1"), min_size=2, max_size=14), st.text(st.sampled_from("abcrn1"), min_size=2, max_size=14))
 def test_gram_prefixes_meet(x, y):
