@@ -29,9 +29,9 @@ WIDTH = 3
 THRESHOLD = 0.60
 MIN_WORDS = 30
 SEGMENTS = 12
-#: Screens: fingerprint bits that may differ, of the 128 that travel with the keys and of all 256. At a similarity of 0.60,
-#: 25.6 and 51.2 differ on average, with deviations of 4.5 and 6.4.
-MAX_BITS = 40
+#: Screens: fingerprint bits that may differ, of the 64 that travel with the keys and of all 256. At a similarity of 0.60,
+#: 12.8 and 51.2 differ on average, with deviations of 3.2 and 6.4.
+MAX_BITS = 25
 MAX_BITS_ALL = 72
 SEED = 29
 #: Copies of one text whose pairs are listed by one task.
@@ -175,10 +175,10 @@ def similar(items: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN
     members = materialise(sk.select("id", "digest").dropDuplicates().join(first, "digest").select("id", "rep"), "members")
     copies = members.where("id <> rep").select("id")
     one = materialise(sk.join(small_side(copies, 16), "id", "left_anti"), "reps")
-    keyed = one.select("id", "f1", "f2", F.explode("keys").alias("key"))  # a bare scan on both sides of the join lets Spark reuse its exchange
+    keyed = one.select("id", "f1", F.explode("keys").alias("key"))  # a bare scan on both sides of the join lets Spark reuse its exchange
     x, y = keyed.alias("x"), keyed.alias("y")
     bits = lambda *pairs: sum((F.bit_count(F.col(p).bitwiseXOR(F.col(q))) for p, q in pairs[1:]), F.bit_count(F.col(pairs[0][0]).bitwiseXOR(F.col(pairs[0][1]))))
-    near = bits(("x.f1", "y.f1"), ("x.f2", "y.f2")) <= MAX_BITS
+    near = bits(("x.f1", "y.f1")) <= MAX_BITS
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).dropDuplicates()
     full = one.select("id", "f1", "f2", "f3", "f4")
     for side in "ab":
