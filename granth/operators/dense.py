@@ -15,7 +15,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from granth.functions import text as T
 from granth.operators.lexical import top
 
-#: Queries that travel together to all rows; a block of 64 doubles a query stays near 2 MB.
+#: Queries that travel together to all rows; a block of 64 doubles a query stays near 2 MB. More queries take more passes.
 BLOCK = 4096
 DIM = 64
 
@@ -45,7 +45,8 @@ def embed(items: DataFrame, column: str = "text") -> DataFrame:
 def search(items: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score, rank): the k best of (id, vector) for each (query_id, vector), ties by id, no score threshold.
 
-    Rows with a null vector or another dimension than the query take no part. A scope is applied before scoring.
+    Null vectors take no part; a row whose dimension is not that of the queries is an error. A scope is applied before scoring. Every
+    task keeps k rows a query, so what is shuffled does not grow with the rows. A query of zeros has k rows too, by id.
     """
     rows = items.select("id", "vector").where("id IS NOT NULL AND vector IS NOT NULL")
     if allowed is not None:
@@ -59,25 +60,41 @@ def search(items: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | No
     return top(reduce(DataFrame.unionByName, parts), k) if k > 0 else top(parts[0].limit(0), 1)
 
 
+def best_columns(s: np.ndarray, k: int) -> np.ndarray:
+    """(rows, k) columns of the k largest of each row, lower columns first among equals; s is rounded to six places."""
+    m = s.shape[1]
+    if m <= k:
+        return np.broadcast_to(np.arange(m), s.shape)
+    if np.abs(s).max() * 1e6 * m < 2**61:  # score and column in one integer
+        key = np.rint(s * 1e6).astype(np.int64) * m + np.arange(m - 1, -1, -1)
+        return np.argpartition(key, m - k, axis=1)[:, m - k:]
+    return np.argsort(-s, axis=1, kind="stable")[:, :k]
+
+
 def _scorer(block: pd.DataFrame, k: int):
     ids = block["query_id"].to_numpy(np.int64)
     q = np.array([np.asarray(v, np.float64) for v in block["vector"]]) if len(block) else np.zeros((0, 0))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score, who = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
         for pdf in batches:
-            ok = pdf["vector"].map(len).to_numpy() == q.shape[1] if len(q) else np.zeros(len(pdf), bool)
-            if not ok.any():
+            if not len(ids) or not len(pdf):
                 continue
-            x = np.stack([np.asarray(v, np.float64) for v in pdf["vector"][ok]])
-            who = pdf["id"][ok].to_numpy(np.int64)
+            wrong = pdf["vector"].map(len).to_numpy() != q.shape[1]
+            if wrong.any():
+                raise ValueError(f"vector of id {pdf['id'][wrong].iloc[0]} has another dimension than the queries ({q.shape[1]})")
+            pdf = pdf.sort_values("id")
+            x, own = np.stack([np.asarray(v, np.float64) for v in pdf["vector"]]), pdf["id"].to_numpy(np.int64)
+            new_s, new_w = [], []
             for lo in range(0, len(ids), 512):
                 s = np.round(q[lo:lo + 512] @ x.T, 6) + 0.0
-                n = min(k, s.shape[1])
-                if n < s.shape[1]:  # keep ties at the k-th score: ids decide among them later
-                    kth = -np.partition(-s, n - 1, axis=1)[:, n - 1:n]
-                    r, c = np.nonzero(s >= kth)
-                else:
-                    r, c = np.nonzero(np.ones_like(s, bool))
-                yield pd.DataFrame({"query_id": ids[lo + r], "id": who[c], "score": s[r, c]})
+                c = best_columns(s, k)
+                new_s.append(np.concatenate([score[lo:lo + 512], np.take_along_axis(s, c, 1)], axis=1))
+                new_w.append(np.concatenate([who[lo:lo + 512], own[c]], axis=1))
+            score, who = np.concatenate(new_s), np.concatenate(new_w)
+            order = np.lexsort((who, -score), axis=1)[:, :k]
+            score, who = np.take_along_axis(score, order, 1), np.take_along_axis(who, order, 1)
+        if score.size:
+            yield pd.DataFrame({"query_id": np.repeat(ids, score.shape[1]), "id": who.ravel(), "score": score.ravel()})
 
     return run

@@ -69,12 +69,13 @@ def hard_negatives(ranked: DataFrame, positives: DataFrame, rank_min: int = 3, r
     """(query_id, positive, negative, pos_score, neg_score, neg_rank) from (query_id, id, score, rank), ranked to rank_max + 11.
 
     Ranks are counted without the positive; candidates lie in the band and below pos_score - margin; without any, the ten after
-    the band serve. The choice among candidates is the smallest hash.
+    the band serve, and if there are none either, the last ten. The choice among candidates is the smallest hash.
     """
     r = ranked.join(positives, "query_id").where("id <> positive")
     r = r.withColumn("k", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id")).cast("long"))
     band = (F.col("k") >= rank_min) & (F.col("k") <= rank_max) & (F.col("score") < F.col("pos_score") - margin)
     after = (F.col("k") > rank_max) & (F.col("k") <= rank_max + 10)
-    c = r.where(band | after).withColumn("tier", F.when(band, 0).otherwise(1)).withColumn("h", shuffle_key(seed, "query_id", "id"))
+    r = r.withColumn("last", F.max("k").over(W.partitionBy("query_id")))
+    c = r.where(band | after | (F.col("k") > F.col("last") - 10)).withColumn("tier", F.when(band, 0).when(after, 1).otherwise(2)).withColumn("h", shuffle_key(seed, "query_id", "id"))
     best = c.groupBy("query_id", "positive", "pos_score").agg(F.min(F.struct("tier", "h", "id", "score", "k")).alias("b"))
     return best.select("query_id", "positive", F.col("b.id").alias("negative"), "pos_score", F.col("b.score").alias("neg_score"), F.col("b.k").alias("neg_rank"))

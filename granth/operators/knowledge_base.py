@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import os
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from granth.functions.text import HBLANK
+from granth.runtime import read_text, write_text
 
 SUPPORTED = (".pdf", ".docx", ".txt", ".md")
 MAX_UPLOAD_MB = 50
@@ -85,6 +86,11 @@ def list_documents(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "filename", "language", "num_pages", "num_chunks", "size_bytes", w.alias("warnings"), "created_at")
 
 
+def listing_order() -> list[Column]:
+    """Newest first, then by name."""
+    return [F.desc("created_at"), F.asc("filename"), F.asc("doc_id")]
+
+
 def new_ids(rows: DataFrame, high_water: int, order: list[str]) -> DataFrame:
     """rows with ids above the stored high-water mark, which survives deletions, so that no id is used twice.
 
@@ -101,22 +107,28 @@ def new_ids(rows: DataFrame, high_water: int, order: list[str]) -> DataFrame:
 
 
 class Snapshots:
-    """Whole-state commits: each version is a folder of tables, and one small pointer file names the current one."""
+    """Whole-state commits on any storage: every table is a list of folders, and one small manifest names them all.
+
+    A commit writes new folders and then replaces the manifest, so readers see all of it or nothing. Tables that a commit does not
+    name stay as they are; append adds a folder to a table without reading it.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        os.makedirs(path, exist_ok=True)
-
-    def commit(self, tables: dict[str, DataFrame]) -> str:
-        version = uuid.uuid4().hex
-        for name, df in tables.items():
-            df.write.parquet(f"{self.path}/{version}/{name}")
-        tmp = f"{self.path}/.current-{version}"
-        with open(tmp, "w") as f:
-            f.write(version)
-        os.replace(tmp, f"{self.path}/CURRENT")
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def manifest(self) -> dict[str, list[str]]:
+        return json.loads(read_text(self.spark, f"{self.path}/CURRENT.json") or "{}")
+
+    def commit(self, tables: dict[str, DataFrame], append: bool = False, replace: dict[str, DataFrame] | None = None) -> str:
+        """Write tables (append: in addition to what they hold), and tables in replace in place of what they hold."""
+        version, at = uuid.uuid4().hex, self.manifest()
+        for name, df, more in [(k, v, append) for k, v in tables.items()] + [(k, v, False) for k, v in (replace or {}).items()]:
+            folder = f"{version}/{name}"
+            df.write.parquet(f"{self.path}/{folder}")
+            at[name] = [*(at.get(name, []) if more else []), folder]
+        write_text(self.spark, f"{self.path}/CURRENT.json", json.dumps(at))
         return version
 
     def read(self, name: str) -> DataFrame:
-        with open(f"{self.path}/CURRENT") as f:
-            return self.spark.read.parquet(f"{self.path}/{f.read()}/{name}")
+        folders = [f"{self.path}/{f}" for f in self.manifest()[name]]
+        return self.spark.read.schema(self.spark.read.parquet(folders[0]).schema).parquet(*folders)

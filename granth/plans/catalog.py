@@ -15,6 +15,8 @@ from granth.sources.loaders import layout_rejoin as rejoin_layout
 
 K, CANDIDATES, TOP_K = 10, 25, 5
 LIMIT, OVERLAP = 40, 5
+#: Chunk indexes that are numbered together.
+RANGE = 4096
 
 # -- Spark ---------------------------------------------------------------------------------------------------------------
 
@@ -102,8 +104,12 @@ def corpus_stats(s, d):
     return lexical.corpus_stats(lexical.index(_chunks(s, d))).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
-def _bm25(s, d, k, scoped=False):
-    return lexical.bm25(lexical.index(_chunks(s, d)), _queries(s, d), k, _scope(s, d) if scoped else None)
+def _index(s, d):
+    return lexical.stored_index(_chunks(s, d))
+
+
+def _bm25(s, d, k, scoped=False, index=None):
+    return lexical.bm25(index or _index(s, d), _queries(s, d), k, _scope(s, d) if scoped else None)
 
 
 def bm25_topk(s, d):
@@ -125,13 +131,15 @@ def dense_scoped(s, d):
     return dense.search(v, v.where("id % 20 = 0").withColumnRenamed("id", "query_id"), K, e.where("label = 1").select(F.col("vec_id").alias("id"))).select("query_id", "id", "score", "rank")
 
 
-def _hash_dense(s, d, k, scoped=False):
+def _hash_dense(s, d, k, scoped=False, index=None):
     q = dense.embed(_queries(s, d), "query").select("query_id", "vector")
-    return dense.search(dense.embed(_chunks(s, d).select("id", "text")), q, k, _scope(s, d) if scoped else None)
+    v = (index or _index(s, d)).select("id", dense.hash_vector("tokens").alias("vector"))
+    return dense.search(v, q, k, _scope(s, d) if scoped else None)
 
 
 def _fused(s, d, scoped=False, n=CANDIDATES):
-    return fusion.rrf(_hash_dense(s, d, n, scoped), _bm25(s, d, n, scoped), n)
+    index = _index(s, d)  # both sides read the tokens that were cut once
+    return fusion.rrf(_hash_dense(s, d, n, scoped, index), _bm25(s, d, n, scoped, index), n)
 
 
 def rrf_fusion(s, d):
@@ -190,15 +198,20 @@ def index_staleness(s, d):
 
 
 def list_documents(s, d):
-    return kb.list_documents(_docs(s, d)).select("doc_id", "filename", "language", "num_pages", "num_chunks", "size_bytes", F.size("warnings").cast("long").alias("n_warnings"), F.array_join("warnings", "|").alias("warnings"))
+    return kb.list_documents(_docs(s, d)).orderBy(*kb.listing_order()).select("doc_id", "filename", "language", "num_pages", "num_chunks", "size_bytes", F.size("warnings").cast("long").alias("n_warnings"), F.array_join("warnings", "|").alias("warnings"))
 
 
 def chunks_for_document(s, d):
-    """Chunks in the order of their documents, with their position."""
+    """Chunks with their position in their document. Large documents are numbered by ranges of chunk_index: counts of the
+    ranges before, then the place within the range, so no task sorts a document."""
     from pyspark.sql import Window as W
 
-    w = W.partitionBy("doc_id").orderBy("chunk_index", "id")
-    return _chunks(s, d).where("doc_id IS NOT NULL").select("doc_id", F.row_number().over(w).cast("long").alias("position"), "id", "page", "token_count")
+    c = _chunks(s, d).where("doc_id IS NOT NULL").select("doc_id", "id", "page", "token_count", "chunk_index", F.floor(F.col("chunk_index") / RANGE).alias("part"))
+    per = c.groupBy("doc_id", "part").agg(F.count("*").alias("n"))
+    before = per.select("doc_id", "part", (F.sum("n").over(W.partitionBy("doc_id").orderBy("part")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(W.partitionBy("doc_id", "part").orderBy("chunk_index", "id"))
+    j = c.withColumn("k", inside).join(before.withColumnRenamed("doc_id", "_d").withColumnRenamed("part", "_p"), (F.col("doc_id") == F.col("_d")) & F.col("part").eqNullSafe(F.col("_p")))
+    return j.select("doc_id", (F.col("before") + F.col("k")).cast("long").alias("position"), "id", "page", "token_count")
 
 
 def kb_scan(s, d):
@@ -287,7 +300,8 @@ def no_llm_answer(s, d):
 def _evaluated(s, d):
     q = _queries(s, d)
     live = q.join(_chunks(s, d).select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
-    dn, bm = materialise(_hash_dense(s, d, CANDIDATES), "dense"), materialise(_bm25(s, d, CANDIDATES), "bm25")
+    index = _index(s, d)
+    dn, bm = materialise(_hash_dense(s, d, CANDIDATES, index=index), "dense"), materialise(_bm25(s, d, CANDIDATES, index=index), "bm25")
     hits = materialise(fusion.hydrate(fusion.rrf(dn, bm, CANDIDATES), _chunks(s, d), _docs(s, d)), "hits")
     rr = fusion.rerank(hits, q, CANDIDATES)
     part = lambda df, name, i, r: df.select(F.lit(name).alias("system"), "query_id", F.col(i).alias("id"), F.col(r).alias("rank"))
@@ -404,7 +418,7 @@ def _list(xs) -> str:
 
 
 def _values(rows) -> str:
-    cell = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else _lit(v)
+    cell = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float)) else _lit(v)
     return ", ".join("(" + ", ".join(cell(v) for v in r) + ")" for r in rows)
 
 
@@ -575,7 +589,15 @@ SQL = {
     "kb_stats": "SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM chunks) AS chunks, (SELECT max(value) FROM meta WHERE key = 'embedding_model') AS embedding_model",
     "load_dispatch": f"SELECT doc_id, {_BASE} AS basename, {_EXT} AS extension, ({_EXT} IN {_OK})::int AS supported FROM documents",
     "decode_text": f"SELECT * FROM (VALUES {_values([(i, t) for i, _, t in RAW_BYTES])}) v(id, text)",
-    "layout_rejoin": "SELECT 1::bigint AS doc, 1 AS page, 'उपस्थिति' || chr(10) || 'Name Fee' AS text UNION ALL SELECT 1, 2, 'one' || chr(10) || chr(10) || 'two'",
+    "layout_rejoin": rf"""
+        WITH s AS (SELECT * FROM (VALUES {_values(SPANS)}) v(doc, page, seq, text, x0, y0, x1, y1, size) WHERE trim(text) <> ''),
+        p AS (SELECT *, lag(text) OVER w AS pt, x0 - lag(x1) OVER w AS gap, lag(y1) OVER w AS py, lag(size) OVER w AS ps FROM s WINDOW w AS (PARTITION BY doc, page ORDER BY seq)),
+        g AS (SELECT *, coalesce(abs(py - y1) < 0.3 * size AND gap >= -2 * size, false) AS goes_on FROM p),
+        j AS (SELECT *, CASE WHEN pt IS NULL THEN '' WHEN NOT goes_on THEN CASE WHEN y0 - py > 0.9 * ps THEN chr(10) || chr(10) ELSE chr(10) END
+                WHEN right(pt, 1) = ' ' OR left(text, 1) = ' ' OR gap <= 0.25 * size OR (regexp_matches(right(pt, 1), '[\x{{0900}}-\x{{097F}}]') AND regexp_matches(left(text, 1), '[\x{{0900}}-\x{{097F}}]') AND gap < 1.5 * size) THEN '' ELSE ' ' END AS glue,
+              lead(goes_on) OVER (PARTITION BY doc, page ORDER BY seq) AS nxt FROM g),
+        t AS (SELECT *, CASE WHEN goes_on THEN text ELSE ltrim(text) END AS t1 FROM j)
+        SELECT doc::bigint AS doc, page::int AS page, string_agg(glue || CASE WHEN coalesce(nxt, false) THEN t1 ELSE rtrim(t1) END, '' ORDER BY seq) AS text FROM t GROUP BY ALL""",
     "clean_history": f"WITH {_HIST.replace('{n}', '4')} SELECT conv_id, turn_no, role, content FROM hist",
     "rewrite_prompt": f"WITH {_HIST.replace('{n}', '12')}, l AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn_no DESC) AS k FROM hist), t AS (SELECT conv_id, string_agg(role || ': ' || substring(content, 1, 500), chr(10) ORDER BY turn_no) AS t FROM l WHERE k <= 4 GROUP BY conv_id) SELECT conv_id, 'Conversation so far:' || chr(10) || t || chr(10) || chr(10) || 'Latest message: ' || question AS prompt FROM t JOIN (VALUES (1, 'और कब?'), (2, 'why'), (4, 'e')) v(conv_id, question) USING (conv_id)",
     "citations": f"SELECT id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(answer, '\\[(\\d+)\\]', 1), lambda x: x::int))), ',') AS cited FROM (VALUES {_values(ANSWERS)}) v(id, answer)",

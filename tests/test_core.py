@@ -77,11 +77,34 @@ def test_bm25(spark):
 
 
 def test_dense(spark):
-    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0]), (4, None), (5, [1.0])], "id long, vector array<double>")
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0]), (4, None)], "id long, vector array<double>")
     q = spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, vector array<double>")
     assert [r.id for r in dense.search(v, q, 2).orderBy("rank").collect()] == [1, 3]  # ties by id
     assert [r.id for r in dense.search(v, q, 9).orderBy("rank").collect()] == [1, 3, 2]  # no threshold
     assert dense.search(v, q, 0).count() == 0
+    zero = spark.createDataFrame([(8, [0.0, 0.0])], "query_id long, vector array<double>")
+    assert [r.id for r in dense.search(v, zero, 2).orderBy("rank").collect()] == [1, 2]  # k rows, not all ties
+    with pytest.raises(Exception, match="dimension"):
+        dense.search(v.union(spark.createDataFrame([(5, [1.0])], v.schema)), q, 2).collect()
+
+
+def test_dense_keeps_a_running_best():
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    x = rng.integers(-2, 3, (400, 3)).astype(float)
+    ids = rng.permutation(400)
+    q = rng.integers(-2, 3, (7, 3)).astype(float)
+    run = dense._scorer(pd.DataFrame({"query_id": range(7), "vector": list(q)}), 9)
+    parts = [pd.DataFrame({"id": ids[a:a + 50], "vector": list(x[a:a + 50])}) for a in range(0, 400, 50)]
+    got = pd.concat(run(iter(parts)))
+    assert len(got) == 63
+    for k in range(7):
+        want = sorted(zip(-(x @ q[k]), ids))[:9]
+        assert sorted(zip(-got.score[got.query_id == k], got.id[got.query_id == k])) == want
+    big = np.array([[1e9, 5.0, 1e9]])
+    assert sorted(dense.best_columns(big, 2)[0]) == [0, 2]
 
 
 def test_rrf(spark):
@@ -154,23 +177,152 @@ def test_load(spark, tmp_path):
     (tmp_path / "c.exe").write_bytes(b"x")
     (tmp_path / "d.md").write_bytes(b"  ")
     got = {r.path.rsplit("/", 1)[-1]: r for r in loaders.load(spark, str(tmp_path)).collect()}
-    assert got["a.docx"].text == "para\nc1 | c2" and got["b.TXT"].text == "हाँ" and "Unsupported" in got["c.exe"].error and "d.md" not in got
+    assert got["a.docx"].text == "para\nc1 | c2" and got["b.TXT"].text == "हाँ" and "Unsupported" in got["c.exe"].error and got["d.md"].error == "no text"
+    import hashlib
 
+    assert got["b.TXT"].sha256 == hashlib.sha256("हाँ ".encode()).hexdigest() and got["b.TXT"].size_bytes == len("हाँ ".encode())
 
-def test_layout():
-    span = lambda text, x0, x1, y: {"text": text, "x0": x0, "x1": x1, "y0": y - 10, "y1": y, "size": 10}
-    assert loaders.page_text([span("उपस्थि", 0, 50, 100), span("ति", 55, 70, 100), span("next", 0, 40, 112), span("gap", 50, 70, 112), span("para", 0, 40, 160)]) == "उपस्थिति\nnext gap\n\npara"
 
+def test_pdf_fallback_and_ocr(spark, tmp_path):
+    def broken(data):
+        raise OSError("no reader")
 
-def test_stream_adds_once(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"x")
+    plain = lambda data: ["a page with a good text layer", "", "  "]
+    pages = lambda **kw: {r.number: r.text or r.error for r in loaders.load(spark, str(tmp_path), **kw).collect()}
+    assert pages(pdf=[broken, plain]) == {1: "a page with a good text layer"}
+    assert pages(pdf=plain, ocr=lambda data, numbers: {k: f"read {k}" for k in numbers if k < 3}) == {1: "a page with a good text layer", 2: "read 2"}
+    assert pages(pdf=plain, ocr=lambda data, numbers: 1 / 0) == {1: "a page with a good text layer"}
+    assert pages(pdf=broken) == {None: "no reader"} and pages() == {None: "Unsupported file type: .pdf"}
+
+
+def test_layout(spark):
+    span = lambda k, text, x0, x1, y: (1, 1, k, text, float(x0), y - 10.0, float(x1), float(y), 10.0)
+    rows = [span(1, " उपस्थि", 0, 50, 100), span(2, "ति", 55, 70, 100), span(3, "next", 0, 40, 112), span(4, "gap ", 50, 70, 112), span(5, "  ", 70, 80, 112), span(6, "para", 0, 40, 160)]
+    df = spark.createDataFrame(rows, "doc long, page int, seq int, text string, x0 double, y0 double, x1 double, y1 double, size double")
+    assert [r.text for r in loaders.layout_rejoin(df).collect()] == ["उपस्थिति\nnext gap\n\npara"]
+    assert loaders.layout_rejoin(df.limit(0)).count() == 0
+
+
+def test_stream_adds_once_and_keeps_tables(spark, tmp_path):
     rows = spark.createDataFrame([(1, "aa", 1), (2, "AA", 2), (3, "bb", 3)], "doc_id long, sha256 string, created_at long")
     snap = kb.Snapshots(spark, str(tmp_path / "kb"))
-    snap.commit({"documents": rows.where("doc_id = 1")})
+    chunk = lambda docs: {"chunks": docs.select("doc_id", F.lit("t").alias("text"))}
+    snap.commit({"documents": rows.where("doc_id = 1"), "meta": spark.createDataFrame([("k", "v")], "key string, value string")} | chunk(rows.where("doc_id = 1")))
     rows.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     for k in ("one", "two"):  # the second run replays everything
-        ingest.start(stream, snap, str(tmp_path / k)).awaitTermination()
+        ingest.start(stream, snap, str(tmp_path / k), chunk).awaitTermination()
     assert sorted(r.doc_id for r in snap.read("documents").collect()) == [1, 3]
+    assert sorted(r.doc_id for r in snap.read("chunks").collect()) == [1, 3] and snap.read("meta").count() == 1
+
+
+class FakeLLM:
+    name = "fake"
+
+    def __init__(self):
+        self.seen = []
+
+    def generate(self, system, messages, max_tokens):
+        self.seen.append((system, messages))
+        return "answer [1]"
+
+
+def test_knowledge_base_round_trip(spark, tmp_path):
+    from granth.knowledge import HashEmbedder, KnowledgeBase
+
+    files = tmp_path / "in"
+    files.mkdir()
+    (files / "fees.txt").write_bytes("The hostel fee is 6000 rupees. It is due in March.\n\nLate payment costs 50 rupees a day.".encode())
+    (files / "yojana.txt").write_bytes("किसान को 6000 रुपये की सहायता मिलेगी। आवेदन ग्राम सभा में होगा।".encode())
+    (files / "again.txt").write_bytes((files / "fees.txt").read_bytes())
+    (files / "bad.exe").write_bytes(b"x")
+    (files / "none.txt").write_bytes(b" ")
+    at = str(tmp_path / "kb")
+    base = KnowledgeBase(spark, at, limit=40, overlap=5, reranker=None)
+    assert "empty" in base.answer("What is the fee?")["answer"] and base.search("fee") == []
+    got = {r.filename: r for r in base.add(str(files)).collect()}
+    assert [got[k].status for k in ("again.txt", "fees.txt", "yojana.txt", "bad.exe", "none.txt")] == ["added", "duplicate", "added", "error", "error"]
+    assert got["fees.txt"].doc_id == got["again.txt"].doc_id and "Unsupported" in got["bad.exe"].error and got["none.txt"].error == "no text"
+    assert {r.status for r in base.add(str(files)).where("error IS NULL").collect()} == {"duplicate"} and base.stats()["documents"] == 2
+    for name, error in (("fees.txt", kb.DuplicateDocumentError), ("bad.exe", kb.UnsupportedFileType), ("none.txt", kb.DocumentProcessingError)):
+        with pytest.raises(error):
+            base.add_document(str(files / name))
+    fees, hindi = got["fees.txt"].doc_id, got["yojana.txt"].doc_id
+    assert base.search("hostel fee", 1)[0]["doc_id"] == fees and base.search("किसान सहायता", 1)[0]["doc_id"] == hindi
+    assert {h["doc_id"] for h in base.search("6000", doc_ids=[hindi])} == {hindi} and {h["doc_id"] for h in base.search("6000", doc_ids=[])} == {fees, hindi}
+    assert base.search("6000", doc_ids=[999]) == [] and len(base.search("6000", top_k=0)) == base.stats()["chunks"]
+    assert "6000" in base.answer("hostel fee kya hai")["answer"]
+    for bad in ("", "x" * 4001):
+        with pytest.raises(ValueError):
+            base.search(bad)
+    with pytest.raises(ValueError):
+        base.search("x", 51)
+    llm = FakeLLM()
+    chatty = KnowledgeBase(spark, at, limit=40, overlap=5, llm=llm)
+    out = chatty.answer("किसान को कितने रुपये मिलेंगे?", [{"role": "user", "content": "नमस्ते"}, {"role": "assistant", "content": "कहिए"}])
+    system, messages = llm.seen[-1]
+    assert out["language"] == "hi" and out["search_query"] == "answer [1]" and "Hindi" in system and "source: yojana.txt, page 1" in messages[-1]["content"] and len(messages) == 3
+    base.store.commit({"vectors": base.store.read("vectors").limit(0)})  # a lost index is made again when the base is opened
+    assert base.stale() and not KnowledgeBase(spark, at).stale()
+    other = type("Other", (HashEmbedder,), {"name": "other-64"})()
+    assert KnowledgeBase(spark, at, embedder=other).meta("embedding_model") == "other-64"
+    base.delete(fees)
+    assert fees not in {h["doc_id"] for h in base.search("hostel fee")} and base.store.read("vectors").count() == base.store.read("chunks").count()
+    assert [r.doc_id for r in base.list_documents().collect()] == [hindi] and base.document_chunks(hindi).count() == 1
+    for call in (base.delete, base.document_chunks):
+        with pytest.raises(KeyError):
+            call(fees)
+    assert base.add_document(str(files / "fees.txt")) > max(fees, hindi)  # ids are not used twice
+
+
+def test_watched_folder(spark, tmp_path):
+    from granth.knowledge import KnowledgeBase
+
+    files = tmp_path / "in"
+    files.mkdir()
+    (files / "a.txt").write_bytes(b"The water committee meets on Monday in the village hall.")
+    base = KnowledgeBase(spark, str(tmp_path / "kb"))
+    for k in ("one", "two"):
+        ingest.watch_folder(spark, str(files), base, str(tmp_path / k)).awaitTermination()
+    assert base.stats()["documents"] == 1 and base.search("water committee")[0]["filename"] == "a.txt"
+
+
+def test_windowed_counts(spark, tmp_path):
+    rows = spark.createDataFrame([("2024-01-01 00:01:00", "a"), ("2024-01-01 00:02:00", "a"), ("2024-01-01 00:07:00", "b")], "ts string, k string")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    ingest.late_counts(stream, "ts", "k").writeStream.format("memory").queryName("late").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination()
+    assert {(r.k, r.n) for r in spark.table("late").collect()} == {("a", 2), ("b", 1)}
+
+
+def test_files(spark, tmp_path):
+    from granth.sources import files
+
+    df = spark.createDataFrame([(1, "शुल्क"), (2, None)], "id long, t string")
+    files.write_jsonl(df, str(tmp_path / "x"))
+    assert sorted(tuple(r) for r in files.read_jsonl(spark, str(tmp_path / "x"), df.schema).collect()) == [(1, "शुल्क"), (2, None)]
+    s = spark.createDataFrame([("BM25", 2, 0.5, 1.0, 1.0, 0.75, 0.8)], "system string, n long, r1 double, r5 double, r10 double, mrr10 double, ndcg10 double")
+    for tag in ("first", "second"):
+        files.append_report(str(tmp_path / "report.md"), tag, evaluation.markdown(s), s)
+    text = (tmp_path / "report.md").read_text()
+    assert text.count("| BM25 | 0.500 |") == 2 and (tmp_path / "second.json").exists()
+
+
+def test_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from granth import runtime
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        runtime.shared_dir(session)
+
+
+def test_hard_negatives_fall_back(spark):
+    ranked = spark.createDataFrame([(1, i, 1.0 - i / 100, i + 1) for i in range(8)], "query_id long, id long, score double, rank long")
+    pos = spark.createDataFrame([(1, 0, 0.2)], "query_id long, positive long, pos_score double")
+    assert evaluation.hard_negatives(ranked, pos).count() == 1  # nothing is below the margin: the last ten serve
 
 
 def test_plans_push_filters_and_limit_groups(spark):
