@@ -19,20 +19,22 @@ DIGITS = r"^[0-9\x{966}-\x{96F}]+$"
 #: Blanks other than the line feed.
 HBLANK = r" \t\x0B\x0C\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 SIGNS = r"\x{900}-\x{903}\x{93A}-\x{94F}\x{955}-\x{957}\x{962}\x{963}"
-HINGLISH = (
-    "hai hain kya kaise kaisa kyun kyon nahi nahin mein mujhe hum aap tum ka ki ke ko se aur bhi kab kahan kitna "
-    "kitne kaun wala wali liye yeh ye woh vo tha thi hota hoti karna karne kare batao bataiye chahiye sakta sakte milega "
-    "milta yojana sarkar paisa kaam"
-).split()
-STOP_WORDS = (
-    "a an the is are was were be been of to in on for and or with by at from as that this it its what which "
-    "who how do does did can i me my you your we our "
-    "है हैं था थी थे का की के को में से पर और या भी यह वह ये वे एक तो ही कि क्या कैसे लिए हो होता "
-    "होती कर करें किया गया गई इस उस जो ने "
-    "ka ki ke ko se hai hain aur mein"
-).split()
+HINGLISH = [
+    "hai", "hain", "kya", "kaise", "kaisa", "kyun", "kyon", "nahi", "nahin", "mein", "mujhe", "hum", "aap", "tum", "ka", "ki", "ke", "ko", "se",
+    "aur", "bhi", "kab", "kahan", "kitna", "kitne", "kaun", "wala", "wali", "liye", "yeh", "ye", "woh", "vo", "tha", "thi", "hota", "hoti", "karna",
+    "karne", "kare", "batao", "bataiye", "chahiye", "sakta", "sakte", "milega", "milta", "yojana", "sarkar", "paisa", "kaam",
+]
+STOP_WORDS = [
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "of", "to", "in", "on", "for", "and", "or", "with", "by", "at", "from", "as", "that",
+    "this", "it", "its", "what", "which", "who", "how", "do", "does", "did", "can", "i", "me", "my", "you", "your", "we", "our", "है", "हैं", "था",
+    "थी", "थे", "का", "की", "के", "को", "में", "से", "पर", "और", "या", "भी", "यह", "वह", "ये", "वे", "एक", "तो", "ही", "कि", "क्या", "कैसे", "लिए",
+    "हो", "होता", "होती", "कर", "करें", "किया", "गया", "गई", "इस", "उस", "जो", "ने", "ka", "ki", "ke", "ko", "se", "hai", "hain", "aur", "mein",
+]
 #: Frequent Hindi words as a legacy font spells them in Latin letters, and signs it uses inside words.
-LEGACY_WORDS = "dk ds dh esa gS gSa vkSj fd dks ls ij gsrq }kjk fy, rFkk ,oa uke fd;k tk,xkA gksxkA dj Hkh".split()
+LEGACY_WORDS = [
+    "dk", "ds", "dh", "esa", "gS", "gSa", "vkSj", "fd", "dks", "ls", "ij", "gsrq", "}kjk", "fy,", "rFkk", ",oa", "uke", "fd;k", "tk,xkA", "gksxkA",
+    "dj", "Hkh",
+]
 LEGACY_INNER = r"[A-Za-z][;|}{\]\[~`][A-Za-z]|%&|[\x{BC}\x{BD}]"
 
 SEP = "\x1e"
