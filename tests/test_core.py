@@ -76,6 +76,36 @@ def test_bm25(spark):
     assert lexical.bm25(lexical.index(items.limit(0)), q, 5).count() == 0
 
 
+def test_bm25_shuffles_no_postings(spark, monkeypatch):
+    import math
+    import random
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i % 190 if i < 200 else None, " ".join(rng.choices(words, range(30, 0, -1), k=rng.randrange(0, 25)))) for i in range(210)]  # ten ids twice, ten nulls
+    asked = {q: rng.sample(words, 4) for q in range(12)}
+    items = spark.createDataFrame(rows, "id long, text string")
+    monkeypatch.setattr(lexical, "ITEMS", 7)
+    monkeypatch.setattr(lexical, "BLOCK", 5)
+    got = lexical.bm25(lexical.index(items), spark.createDataFrame([(q, " ".join(w)) for q, w in asked.items()], "query_id long, query string"), 6)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan  # each task keeps its best rows
+    pooled, lengths = {}, {}
+    for i, text in rows:
+        pooled.setdefault(i, []).extend(text.split())
+        lengths.setdefault(i, []).append(len(text.split()))
+    n, avgdl = len(rows), sum(len(x.split()) for _, x in rows) / len(rows)
+    for q, ws in asked.items():
+        want = []
+        for i in pooled:
+            terms = [w for w in ws if w in pooled[i]]
+            idf = {w: math.log(1 + (n - sum(w in p for p in pooled.values()) + 0.5) / (sum(w in p for p in pooled.values()) + 0.5)) for w in terms}
+            part = [idf[w] * pooled[i].count(w) * 2.5 / (pooled[i].count(w) + 1.5 * (0.25 + 0.75 * dl / avgdl)) for w in terms for dl in lengths[i]]
+            if part and i is not None:
+                want.append((-round(sum(part), 6), i))
+        assert [(-r.score, r.id) for r in got.where(F.col("query_id") == q).orderBy("rank").collect()] == sorted(want)[:6]
+
+
 def test_dense(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0]), (4, None)], "id long, vector array<double>")
     q = spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, vector array<double>")
