@@ -45,6 +45,16 @@ def test_devanagari(spark):
     assert column(spark, ["dk " * 5 + "word " * 20, "word " * 30, "dk dk"], T.looks_legacy_font) == [True, False, False]
 
 
+def test_page_checks_take_linear_time(spark):
+    import time
+
+    began = time.time()
+    assert column(spark, ["a" * 150_000], T.looks_garbled) == [False]
+    assert time.time() - began < 20
+    words = ["fd", "(fd)", "fd;k", "}kjk,", "fy,", ",oa", "fdx", "x.fd", "'dk'", "dk", "esa:", "tk,xkA.", "ds\u00a0dh"]  # ten of these count, and one sign inside
+    assert column(spark, [" ".join(words + ["plain"] * n) for n in (160, 180)], T.looks_legacy_font) == [True, False]
+
+
 def test_labels(spark):
     got = column(spark, ["Hindi", "hi-IN", "hi-Latn", "HINGLISH", " ", "und", None, "ne", "zh_CN"], label)
     assert got == ["hi", "hi", "hinglish", "hinglish", None, None, None, "ne", "zh"]
