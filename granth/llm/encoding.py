@@ -26,7 +26,7 @@ from granth.runtime import materialise
 RUN = r"[^\x00-\x7F]+"
 #: Encodings that text in UTF-8 is often read with, and how undefined bytes are treated (fixed values).
 READ_AS = (("cp1252", "control"), ("cp1252", "replace"), ("latin-1", "strict"), ("mac_roman", "strict"), ("cp437", "strict"), ("cp850", "strict"), ("cp1250", "control"), ("cp1251", "control"), ("cp1254", "control"), ("iso8859-15", "strict"))
-#: The same misreading happening twice is a chain of its own.
+#: Misreadings that may follow one another; they need not be the same.
 DEPTH = 2
 REPLACEMENT = "�"
 
@@ -53,18 +53,21 @@ def _tables() -> list[dict[int, str]]:
 
 
 def garble(word: str) -> list[tuple[str, int]]:
-    """(form, depth) of a word under every chain: each misreading, once up to DEPTH times."""
+    """(form, depth) of a word under every chain of up to DEPTH misreadings, alike or different; the shortest chain counts."""
     out: dict[str, int] = {}
-    for t in _tables():
-        w = word
-        for depth in range(1, DEPTH + 1):
-            f = w.encode("utf-8", "surrogatepass").decode("latin-1").translate(t)
-            if f == w:
-                break
-            out.setdefault(f, depth)
-            if REPLACEMENT in f:
-                break
-            w = f
+    level = [word]
+    for depth in range(1, DEPTH + 1):
+        further: dict[str, None] = {}
+        for w in level:
+            raw = w.encode("utf-8", "surrogatepass").decode("latin-1")
+            for t in _tables():
+                f = raw.translate(t)
+                if f == w or f in out:
+                    continue
+                out[f] = depth
+                if REPLACEMENT not in f:
+                    further[f] = None
+        level = list(further)
     return list(out.items())
 
 

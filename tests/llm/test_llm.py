@@ -260,6 +260,14 @@ def test_garble_round_trip(word):
     assert encoding.restore_text(word) == word
 
 
+def test_chains_of_different_misreadings_are_restored(spark):
+    first, second = {n: encoding._reader(n, "control") for n in ("cp1252", "mac_roman", "cp1251")}, encoding._reader("cp437", "control")
+    read = lambda w, r: "".join(r[b] for b in w.encode("utf-8"))
+    rows = [("chunks", 1, "नमस्ते सरकार"), ("chunks", 2, read(read("नमस्ते", first["cp1252"]), second)), ("chunks", 3, read(read("सरकार", first["mac_roman"]), first["cp1251"]))]
+    got = {r.rec_id: r.text for r in encoding.repair(spark.createDataFrame(rows, "tbl string, rec_id long, text string")).collect()}
+    assert got == {2: "नमस्ते", 3: "सरकार"}
+
+
 def test_restored_text_keeps_devanagari():
     word = "नमपर"  # each letter's two bytes could be ASCII
     assert encoding.turn_utf16(word) is not None and encoding.restore_text(f"{word} â€™ {word}").split()[::2] == [word, word]
