@@ -28,6 +28,8 @@ RUN = r"[^\x00-\x7F]+"
 READ_AS = (("cp1252", "control"), ("cp1252", "replace"), ("latin-1", "strict"), ("mac_roman", "strict"), ("cp437", "strict"), ("cp850", "strict"), ("cp1250", "control"), ("cp1251", "control"), ("cp1254", "control"), ("iso8859-15", "strict"))
 #: Misreadings that may follow one another; they need not be the same.
 DEPTH = 2
+#: Characters of forms that a task holds at once, besides those of one run.
+FORM_CHARS = 1_000_000
 REPLACEMENT = "�"
 
 
@@ -105,14 +107,25 @@ def garbled_forms(records: DataFrame) -> DataFrame:
     """
     clean = records.select(F.explode(_runs(records)).alias("run")).where(~F.col("run").rlike(f"^[{PRODUCED}]{{4,}}$")).groupBy("run").agg(F.count("*").alias("n"))
 
-    def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(f, w, d, n) for w, n in pdf.itertuples(index=False) for f, d in garble(w)]
-            yield pd.DataFrame(rows, columns=["form", "original", "depth", "n"])
-
     return clean.mapInPandas(forms, "form string, original string, depth int, n long")
 
 
+def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """garbled_forms() of (run, n), in frames of about FORM_CHARS characters: the forms of a run of hundreds of characters are
+    hundreds of times as long as it, and a batch of Arrow has thousands of runs."""
+    rows: list[tuple[str, str, int, int]] = []
+    held = 0
+    for pdf in batches:
+        for w, n in pdf.itertuples(index=False):
+            for f, d in garble(w):
+                rows.append((f, w, d, n))
+                held += len(f)
+            if held > FORM_CHARS:
+                yield pd.DataFrame(rows, columns=["form", "original", "depth", "n"])
+                rows, held = [], 0
+    yield pd.DataFrame(rows, columns=["form", "original", "depth", "n"])
+
+
 def suspect_runs(records: DataFrame) -> DataFrame:
     """(tbl, rec_id, run) distinct: runs that wrong decoding can produce, in whole."""
     rows = records.where(F.col("text").rlike(f"[{PRODUCED}]{{2}}|{REPLACEMENT}") | F.col("text").rlike(UTF16_RUN))

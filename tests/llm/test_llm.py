@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -278,6 +279,14 @@ def test_restored_text_keeps_devanagari():
     assert "घर" in encoding.restore_text(turned + " â€™")
 
 
+def test_forms_of_long_runs_come_in_small_frames():
+    runs = [chr(0x905 + i) + "शुल्कमार्च" * 30 for i in range(20)]
+    frames = list(encoding.forms(iter([pd.DataFrame({"run": runs, "n": range(20)})])))
+    one = max(sum(len(f) for f, _ in encoding.garble(w)) for w in runs)
+    assert len(frames) > 1 and all(f["form"].str.len().sum() <= encoding.FORM_CHARS + one for f in frames)
+    assert list(pd.concat(frames).itertuples(index=False, name=None)) == [(f, w, d, n) for n, w in enumerate(runs) for f, d in encoding.garble(w)]
+
+
 def test_records_are_found_and_restored(spark):
     hi, both = "शुल्क मार्च में देना है", "café – नियम"
     texts = [hi, hi.encode().decode("cp1252", "replace"), both, both.encode().decode("latin-1"), "50 °C, ½ spoon, § 4, “ok” – naïve", None, "", "plain", "The fee is due in March. ".encode().decode("utf-16-le", "ignore"), "lost �5 here", "über"]
