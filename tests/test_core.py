@@ -147,6 +147,38 @@ def test_dense_keeps_a_running_best():
     assert sorted(dense.best_columns(big, 2)[0]) == [0, 2]
 
 
+def test_dense_screens_pairs_and_keeps_ties():
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(3000, 8)), np.repeat(rng.normal(size=(30, 8)), 20, axis=0)])  # many equal rows
+    ids = rng.permutation(len(x))
+    q = np.concatenate([x[:40], np.zeros((1, 8)), x[-40:], rng.normal(size=(40, 8)) * 1e-5, rng.normal(size=(2, 8)) * 1e35])
+    run = dense._scorer(pd.DataFrame({"query_id": range(len(q)), "vector": list(q)}), 9)
+    parts = [pd.DataFrame({"id": ids[a:a + 400], "vector": list(x[a:a + 400])}) for a in range(0, len(x), 400)]
+    got = pd.concat(run(iter(parts))).groupby("query_id")
+    for k in range(len(q) - 2):
+        want = sorted(zip(-(np.round(x @ q[k], 6) + 0.0), ids))[:9]
+        assert sorted(zip(-got.get_group(k).score, got.get_group(k).id)) == want
+    assert got.size().eq(9).all()
+    row, column, whole = dense._screened(q[:1], x, np.array([(q[0] @ q[0]) * 0.99]), 9)
+    assert not whole.any() and 0 in column and len(row) < 20
+
+
+def test_hits_of_many_partitions_move_little(spark):
+    from granth.runtime import materialise
+
+    v = spark.range(400).repartition(40).select("id", F.array(F.col("id") % 7 + 0.0, F.lit(1.0)).alias("vector"))
+    found = dense.search(v, v.where("id < 5").withColumnRenamed("id", "query_id"), 3)
+    assert "Coalesce 8" in found._jdf.queryExecution().executedPlan().toString()  # 2 x 4 cores, not 40 tasks, return 3 rows a query
+    chunks = spark.range(400).selectExpr("id", "id as doc_id", "1 as page", "'en' as language", "repeat('x', 99) as text")
+    hits = spark.createDataFrame([(1, 3, 0.5, 1, None, 0.1, 1), (1, 999, 0.5, 2, None, 0.1, 2)], "query_id long, id long, dense_score double, dense_rank long, bm25_rank long, rrf_score double, pos long")
+    got = fusion.hydrate(hits, materialise(chunks), chunks.selectExpr("doc_id", "'f' as filename"))
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()  # texts of other chunks are not shuffled
+    assert [(r.chunk_id, r.filename, r.pos) for r in got.collect()] == [(3, "f", 1)]
+
+
 def test_rrf(spark):
     cols = "query_id long, id long, score double, rank long"
     a = spark.createDataFrame([(1, 1, 0.9, 1), (1, 2, 0.8, 2), (1, 3, 0.7, 3)], cols)
