@@ -13,13 +13,17 @@ A null or blank text gives no unit. Units never overlap, cover all non-blank cha
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
+from math import log
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granth.llm.spaceless import LETTERS, Spaceless
+from granth.llm.spaceless import COHESION, LETTERS, MIN_COUNT, MOST_WORDS, VARIETY, Spaceless
+from granth.runtime import materialise
 
 SCHEMA = "doc_id long, unit_no int, start_pos int, end_pos int"
 
@@ -255,16 +259,67 @@ def sentence_units(text: str, model: Spaceless = GENERAL) -> list[tuple[int, int
     return out
 
 
-#: Bound of the sample that the model of spaceless scripts is fitted on: so many documents, by hash.
-SAMPLE_DOCS = 400
+#: Distinct entries that a task counts before it hands them on.
+COUNTED = 100_000
+
+
+def _counted(add) -> Callable:
+    """mapInArrow function that counts what add(text, counter) counts of each text; counters are emptied at COUNTED entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                add(text, seen)
+                if len(seen) > COUNTED:
+                    yield frame(seen)
+                    seen.clear()
+        yield frame(seen)
+
+    def frame(seen: Counter) -> pa.RecordBatch:
+        columns = [pa.array([k[i] for k in seen], pa.string()) for i in range(3)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(seen.values(), pa.int64())], ["key", "before", "after", "n"])
+
+    return run
+
+
+def _add_grams(text: str, seen: Counter) -> None:
+    seen.update(Spaceless.grams(text))
 
 
 def fit_spaceless(documents: DataFrame, samples: DataFrame | None = None) -> Spaceless:
-    """Model from single sentences (samples: text, of a fixed number) and the first SAMPLE_DOCS texts with spaceless scripts by hash."""
-    some = documents.where(F.col("text").rlike(f"[{SPACELESS_JAVA}]{{4}}")).select("text", F.xxhash64("text").alias("h")).dropDuplicates(["text"])
-    texts = sorted(r.text for r in some.orderBy("h", "text").limit(SAMPLE_DOCS).collect())
+    """Model from single sentences (samples: text, of a fixed number) and all distinct texts with spaceless scripts.
+
+    The same counts as Spaceless.fit(): grams, and the words inside marked sentences, are counted by the executors; the driver gets
+    the dictionary and the counts of words and pairs of words.
+    """
+    spark = documents.sparkSession
+    texts = materialise(documents.where(F.col("text").rlike(f"[{SPACELESS_JAVA}]")).select("text").dropDuplicates(), "spaceless")
     known = [] if samples is None else sorted({r.text for r in samples.where("text IS NOT NULL").select("text").collect()})
-    return Spaceless().fit(known, texts)
+    both = texts.unionByName(spark.createDataFrame([(s,) for s in Spaceless.single(known)], "text string"))
+    schema, free = "key string, before string, after string, n long", lambda c: F.size(c) + F.when(F.arrays_overlap(c, F.array(F.lit("\x02"), F.lit("\x03"))), 2).otherwise(0)
+    grams = both.mapInArrow(_counted(_add_grams), schema).groupBy("key").agg(F.sum("n").alias("n"), F.collect_set("before").alias("b"), F.collect_set("after").alias("a"))
+    size = F.length("key")
+    grams = materialise(grams.where((F.col("n") >= MIN_COUNT) | (size == 1)).select("key", "n", F.least(free("b"), free("a")).alias("free")), "grams")
+    total = grams.where(size == 1).agg(F.sum("n")).first()[0] or 1
+    cut = grams.where((size > 1) & (F.col("free") >= VARIETY)).select("key", "n", F.explode(F.sequence(F.lit(1), size - 1)).alias("k"))
+    cut = cut.select("key", "n", F.expr("substring(key, 1, k)").alias("x"), F.expr("substring(key, k + 1)").alias("y"))
+    part = lambda name: grams.select(F.col("key").alias(name), F.col("n").alias(f"n{name}"))
+    firm = cut.join(part("x"), "x").join(part("y"), "y").groupBy("key", "n").agg(F.min(F.log(F.col("n") * float(total) / (F.col("nx") * F.col("ny")))).alias("cohesion"))
+    words = firm.where(F.col("cohesion") >= COHESION).orderBy(F.desc(F.col("n") * size), "key").limit(MOST_WORDS).select("key", "n").collect()
+    model = Spaceless()
+    model.cost.update((r.key, log(total / r.n)) for r in words)
+    model.longest = max(map(len, model.cost))
+
+    def add_inner(text: str, seen: Counter) -> None:
+        model.inner.clear()
+        model.count_marked(text)
+        for key, n in model.inner.items():
+            seen[key, "", ""] += n
+
+    inner = texts.mapInArrow(_counted(add_inner), schema).groupBy("key").agg(F.sum("n").alias("n")).collect()
+    model.inner = Counter({r.key: r.n for r in inner})
+    return model.train(known)
 
 
 def sentences(documents: DataFrame, model: Spaceless = GENERAL) -> DataFrame:

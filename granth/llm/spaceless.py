@@ -4,13 +4,14 @@ A dictionary of words is found in texts by cohesion (a word's parts stand togeth
 what stands beside it. The cheapest path through the lattice of dictionary words segments a run of text. A gap is then
 classified by how often its last word closes and its first word opens a sentence in texts whose boundaries are known, by general
 lists of final particles and opening words, and by what stands around it. The classifier is trained on joins of known sentences
-against the gaps inside them. All of it is fitted on a bounded sample that the caller draws.
+against the gaps inside them. fit() takes texts as a list; sentences.fit_spaceless counts the same over all texts of a table.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from math import log
 
 import numpy as np
@@ -51,6 +52,18 @@ class Spaceless:
         self.judged: dict[tuple, float] = {}
 
     # -- words --
+    @staticmethod
+    def grams(text: str) -> Iterator[tuple[str, str, str]]:
+        """(gram, character before, character after) of all stretches of runs up to LONGEST; single characters without neighbours."""
+        for m in _RUN.finditer(text):
+            run = f"\x02{m.group()}\x03"
+            n = len(run)
+            for i in range(1, n - 1):
+                yield run[i], "", ""
+            for k in range(2, LONGEST + 1):
+                for i in range(1, n - k):
+                    yield run[i:i + k], run[i - 1], run[i + k]
+
     def learn_words(self, texts: list[str]) -> None:
         """Dictionary from the runs of texts. Bounds: LONGEST characters a word, MOST_WORDS words."""
         grams: Counter = Counter()
@@ -133,11 +146,27 @@ class Spaceless:
             min(len(left), 40), min(len(right), 40), left[-1:].isdigit(), right[:1].isdigit(), left[-1:].isascii(),
         ]
 
+    @staticmethod
+    def single(sentences: list[str]) -> list[str]:
+        return [s.strip() for s in sentences if s and _HAS.search(s)]
+
+    def count_marked(self, text: str) -> None:
+        """Inner words of all sentences that end in a mark; where a space may end one too, they are left out."""
+        for p in _MARKED.split(text):
+            s = p.strip()
+            if s and _HAS.search(s) and not _BLANK_GAP.search(s):
+                self.count_inner(self.words(s))
+
     def fit(self, sentences: list[str], texts: list[str]) -> Spaceless:
         """sentences: units with known ends, in any language (spaced ones are left out); texts: documents that hold spaceless scripts."""
-        single = [s.strip() for s in sentences if s and _HAS.search(s)]
-        marked = [p.strip() for t in texts for p in _MARKED.split(t) if p.strip() and _HAS.search(p)]
-        self.learn_words([*single, *texts])
+        self.learn_words([*self.single(sentences), *texts])
+        for t in texts:
+            self.count_marked(t)
+        return self.train(sentences)
+
+    def train(self, sentences: list[str]) -> Spaceless:
+        """Closing and opening counts and the gap classifier, when words and what stands inside marked sentences are known."""
+        single = self.single(sentences)
         bare = [re.sub(r"[。！？!?｡.\s]+$", "", s) for s in single]
         bare = [s for s in bare if len(s) > 3]
         for s in bare:
@@ -145,9 +174,6 @@ class Spaceless:
             self.closing.update(self.keys(w, False))
             self.opening.update(self.keys(w, True))
             self.count_inner(w)
-        for s in marked:  # inner words of all sentences that end in a mark; where a space may end one too, they are left out
-            if not _BLANK_GAP.search(s):
-                self.count_inner(self.words(s))
         rng = np.random.default_rng(4)
         xs, ys = [], []
         kinds: dict[str, list[str]] = {}

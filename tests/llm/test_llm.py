@@ -429,6 +429,18 @@ def test_spaceless_sentences_with_new_words(case):
     assert sentences.sentence_units("2025年度 学生案内", model) == [(0, 11)]
 
 
+def test_spaceless_model_counts_all_documents(spark):
+    from granth.llm.spaceless import Spaceless
+
+    rng = random.Random(3)
+    parts = ["提交申请", "费用", "办公室", "日期", "证明", "的", "在", "请", "村庄", "学校", "付款", "三月"]
+    texts = sorted({"。".join("".join(rng.choices(parts, k=rng.randint(2, 6))) for _ in range(3)) + "。" for _ in range(700)})
+    known = ["请在三月付款。", "学校的费用。", "Plain."]
+    want = Spaceless().fit(sorted(known), texts)
+    got = sentences.fit_spaceless(spark.createDataFrame([(t,) for t in [*texts, texts[0], None, "plain"]], "text string"), spark.createDataFrame([(k,) for k in known], "text string"))
+    assert got.cost == want.cost and got.inner == want.inner and got.closing == want.closing and len(got.cost) > len(Spaceless().cost)
+
+
 def test_word_lattice_finds_words():
     model = sentences.Spaceless()
     model.learn_words(["图书馆在东门", "图书馆很大", "我去图书馆", "他在图书馆看书", "图书馆开门了", "新图书馆好"])
